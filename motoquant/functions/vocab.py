@@ -34,18 +34,24 @@ TITLE_WORDED = ["SL", "GL", "V", "M", "R", "CL", "G", "A", "B", "C", "E", "S"]
 TITLE_VARIANT = r"\b(GLA|GLB|GLC|GLE|GLS|CLA|CLS|CLK|SLK|SL|GL|CL|[ABCESGV])\s*-?\s*(\d{2,3})\b"
 
 
+def _first_listed(tokens: list[str], found: Column) -> Column:
+    """The earliest of the ordered tokens that occurs among the found ones."""
+    return F.get(F.array_intersect(F.array(*[F.lit(t) for t in tokens]), found), F.lit(0))
+
+
 def canonical_class(text: Column | str) -> Column:
-    """First class token found in a raw model name, null when none is."""
+    """First class token of the ordered list present in a raw model name, null when none is.
+
+    A token counts as a whole word, as a word followed by digits, or right before "CLASS". All
+    candidates are cut out in four passes and then ranked, rather than testing token by token.
+    """
     t = F.regexp_replace(F.upper(_c(text)), BRAND_WORDS, " ")
     t = F.regexp_replace(t, GERMAN_CLASS_WORDS, " CLASS")
-    hits = [
-        F.when(
-            t.rlike(rf"\b{token}(\b|[ -]?\d)|{token} CLASS"),
-            F.lit(CLASS_ALIAS.get(token, token)),
-        )
-        for token in CLASS_TOKENS
-    ]
-    return F.coalesce(*hits)
+    words = F.regexp_extract_all(t, F.lit(rf"\b({'|'.join(CLASS_TOKENS)})(?:\b|(?=\d))"), 1)
+    before = [F.regexp_extract_all(t, F.lit(rf"(?=({'.' * n}) CLASS)"), 1) for n in (1, 2, 3)]
+    hit = _first_listed(CLASS_TOKENS, F.concat(words, *before))
+    alias = F.create_map(*[F.lit(x) for item in CLASS_ALIAS.items() for x in item])
+    return F.coalesce(F.try_element_at(alias, hit), hit)
 
 
 def class_label(text: Column | str) -> Column:
@@ -74,20 +80,22 @@ def title_class(
     """
     hay = F.upper(F.concat_ws(" ", F.coalesce(_c(make), F.lit("")), F.coalesce(_c(title), F.lit(""))))
     from_group = class_label(F.replace(_c(model_group), F.lit("-"), F.lit(" ")))
-
-    def found(token: str) -> Column:
-        if not bounded:
-            return hay.contains(token)
-        return hay.rlike(rf"\b{token}(\b|\d)")
-
-    hits = [F.when(hay.contains(TITLE_SPECIAL[0]), F.lit(TITLE_SPECIAL[1]))]
-    hits += [F.when(found(token), F.lit(f"{token}_CLASS")) for token in TITLE_BARE]
-    hits += [
-        F.when(found(f"{token}-CLASS") | found(f"{token} CLASS"), F.lit(f"{token}_CLASS"))
-        for token in TITLE_WORDED
-    ]
+    if bounded:
+        end = r"(?:\b|(?=\d))"
+        bare = F.regexp_extract_all(hay, F.lit(rf"\b({'|'.join(TITLE_BARE)}){end}"), 1)
+        worded = F.regexp_extract_all(hay, F.lit(rf"\b({'|'.join(TITLE_WORDED)})[- ]CLASS{end}"), 1)
+    else:
+        held = lambda token, form: F.when(hay.contains(form), F.lit(token))
+        bare = F.array(*[held(t, t) for t in TITLE_BARE])
+        worded = F.array(*[
+            F.coalesce(held(t, f"{t}-CLASS"), held(t, f"{t} CLASS")) for t in TITLE_WORDED
+        ])
+    token = F.coalesce(_first_listed(TITLE_BARE, bare), _first_listed(TITLE_WORDED, worded))
+    special = F.when(hay.contains(TITLE_SPECIAL[0]), F.lit(TITLE_SPECIAL[1]))
     badge = class_label(first_match(hay, TITLE_VARIANT))
-    by_title = F.when(is_brand(make, title, brand), F.coalesce(*hits, badge))
+    by_title = F.when(
+        is_brand(make, title, brand), F.coalesce(special, F.concat(token, F.lit("_CLASS")), badge)
+    )
     return F.coalesce(from_group, by_title)
 
 
