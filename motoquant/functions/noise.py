@@ -31,11 +31,13 @@ def gaussian(keys: list[Column | str], salt: str, seed: int, std: float = 1.0) -
 def poisson(mean: Column | str, keys: list[Column | str], salt: str, seed: int) -> Column:
     """Poisson draw by walking the distribution function up to the uniform draw.
 
-    The walk is as long as the smallest draw the 52-bit uniform could still reach.
+    The walk is long enough for any draw: its length follows the mean, and the far tail that only
+    an extreme uniform can reach gets the longer one.
     """
     lam = _c(mean)
     u = uniform(keys, salt, seed)
-    last = F.ceil(lam + 10.0 * F.sqrt(lam) + 12.0).cast("int")
+    short, long = lam + 5.0 * F.sqrt(lam) + 6.0, lam + 10.0 * F.sqrt(lam) + 12.0
+    last = F.ceil(F.when(u < 0.999999, short).otherwise(long)).cast("int")
     start = F.struct(
         F.exp(-lam).alias("mass"),
         F.exp(-lam).alias("total"),

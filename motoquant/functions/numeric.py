@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,16 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for all its uses in ``body``.
+
+    A Column used five times is computed five times wherever common subexpressions are not
+    shared, as in a pushed-down filter or behind a condition. Bound as a lambda variable it is
+    computed once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def round_even(x: Column | str, digits: int = 0) -> Column:
     """Half-to-even on the double itself; ``bround`` would round the printed decimal instead."""
     c = _c(x).cast("double")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from motoquant.functions.numeric import _c, first_match
+from motoquant.functions.numeric import _c, first_match, let
 
 # Class tokens in matching order, and the one alias.
 CLASS_TOKENS = [
@@ -47,19 +47,23 @@ def canonical_class(text: Column | str) -> Column:
     """
     t = F.regexp_replace(F.upper(_c(text)), BRAND_WORDS, " ")
     t = F.regexp_replace(t, GERMAN_CLASS_WORDS, " CLASS")
-    words = F.regexp_extract_all(t, F.lit(rf"\b({'|'.join(CLASS_TOKENS)})(?:\b|(?=\d))"), 1)
-    before = [F.regexp_extract_all(t, F.lit(rf"(?=({'.' * n}) CLASS)"), 1) for n in (1, 2, 3)]
-    hit = _first_listed(CLASS_TOKENS, F.concat(words, *before))
-    alias = F.create_map(*[F.lit(x) for item in CLASS_ALIAS.items() for x in item])
-    return F.coalesce(F.try_element_at(alias, hit), hit)
+    labels = F.create_map(*[F.lit(x) for c in CLASS_TOKENS for x in (c, CLASS_ALIAS.get(c, c))])
+
+    def pick(t: Column) -> Column:
+        words = F.regexp_extract_all(t, F.lit(rf"\b({'|'.join(CLASS_TOKENS)})(?:\b|(?=\d))"), 1)
+        before = [F.regexp_extract_all(t, F.lit(rf"(?=({'.' * n}) CLASS)"), 1) for n in (1, 2, 3)]
+        found = F.when(t.contains(" CLASS"), F.concat(words, *before)).otherwise(words)
+        return F.try_element_at(labels, _first_listed(CLASS_TOKENS, found))
+
+    return let(t, pick)
 
 
 def class_label(text: Column | str) -> Column:
     """Exact spelling to ``X_CLASS`` label; numeric-only and unknown spellings give null."""
     t = F.upper(F.trim(_c(text)))
-    plain = first_match(t, rf"^({'|'.join(LABEL_CLASSES)})([ -]CLASS)?$")
-    coupe = first_match(t, rf"^({'|'.join(LABEL_COUPES)})[ -]COUPE$")
-    return F.concat(F.coalesce(plain, coupe), F.lit("_CLASS"))
+    # one pattern: a coupe spelling leaves the first group empty and fills the second
+    form = rf"^(?:({'|'.join(LABEL_CLASSES)})(?:[ -]CLASS)?|({'|'.join(LABEL_COUPES)})[ -]COUPE)$"
+    return F.when(t.rlike(form), F.concat(F.regexp_extract(t, r"^([A-Z]+)", 1), F.lit("_CLASS")))
 
 
 def is_brand(make: Column | str, title: Column | str, brand: str) -> Column:
@@ -80,6 +84,11 @@ def title_class(
     """
     hay = F.upper(F.concat_ws(" ", F.coalesce(_c(make), F.lit("")), F.coalesce(_c(title), F.lit(""))))
     from_group = class_label(F.replace(_c(model_group), F.lit("-"), F.lit(" ")))
+    by_title = F.when(is_brand(make, title, brand), let(hay, lambda h: _class_in_title(h, bounded)))
+    return F.coalesce(from_group, by_title)
+
+
+def _class_in_title(hay: Column, bounded: bool) -> Column:
     if bounded:
         end = r"(?:\b|(?=\d))"
         bare = F.regexp_extract_all(hay, F.lit(rf"\b({'|'.join(TITLE_BARE)}){end}"), 1)
@@ -93,10 +102,7 @@ def title_class(
     token = F.coalesce(_first_listed(TITLE_BARE, bare), _first_listed(TITLE_WORDED, worded))
     special = F.when(hay.contains(TITLE_SPECIAL[0]), F.lit(TITLE_SPECIAL[1]))
     badge = class_label(first_match(hay, TITLE_VARIANT))
-    by_title = F.when(
-        is_brand(make, title, brand), F.coalesce(special, F.concat(token, F.lit("_CLASS")), badge)
-    )
-    return F.coalesce(from_group, by_title)
+    return F.coalesce(special, F.concat(token, F.lit("_CLASS")), badge)
 
 
 def training_transmission(text: Column | str) -> Column:

@@ -131,6 +131,38 @@ def _rolled(current: Column, rules: Rules) -> Column:
     )
 
 
+def slot_hops(keys: DataFrame, busy: DataFrame, hops: int, rules: Rules = DEFAULT) -> DataFrame:
+    """The next ``hops`` slots after each (calendar_id, start_at), as columns hop_1, hop_2, ...
+
+    Each hop expands a key to its fixed number of candidate slots, marks the taken ones and folds
+    back to one row, so the hops form a chain and no step is computed twice.
+    """
+    span = keys.agg(
+        F.min(F.col("start_at").cast("date")).alias("_d0"),
+        F.date_add(F.max(F.col("start_at").cast("date")), rules.search_days * hops + hops).alias("_d1"),
+    )
+    taken = busy_slots(busy.join(F.broadcast(span)), F.col("_d0"), F.col("_d1")).withColumn("_taken", F.lit(True))
+    out = keys.select("calendar_id", "start_at").distinct().withColumn("_at", F.col("start_at"))
+    names: list[str] = []
+    for i in range(1, hops + 1):
+        fixed = ["calendar_id", "start_at", "_at", *names]
+        slot = _at(F.date_add(F.col("_at").cast("date"), F.col("_n")), F.col("_h"))
+        candidates = (
+            out.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(rules.search_days - 1))))
+            .withColumn("_h", F.explode(_work_hours(rules)))
+            .select(*fixed, slot.alias("slot_start"))
+        )
+        later = F.when(F.col("_taken").isNull() & (F.col("slot_start") > F.col("_at")), F.col("slot_start"))
+        folded = candidates.join(taken, ["calendar_id", "slot_start"], "left").groupBy(*fixed).agg(
+            F.min(later).alias("_free")
+        )
+        names.append(f"hop_{i}")
+        out = folded.withColumn(names[-1], F.coalesce("_free", _rolled(F.col("_at"), rules))).select(
+            "calendar_id", "start_at", F.col(names[-1]).alias("_at"), *names
+        )
+    return out.drop("_at")
+
+
 def next_free_slot(
     wanted: DataFrame, busy: DataFrame, current: str = "slot_at", out: str = "next_slot", rules: Rules = DEFAULT
 ) -> DataFrame:
@@ -138,27 +170,9 @@ def next_free_slot(
 
     Looked up once per distinct (calendar, moment) and joined back.
     """
-    keys = wanted.select("calendar_id", F.col(current).alias("_at")).distinct()
-    span = keys.agg(
-        F.min(F.col("_at").cast("date")).alias("_d0"),
-        F.date_add(F.max(F.col("_at").cast("date")), rules.search_days - 1).alias("_d1"),
-    )
-    taken = busy_slots(busy.join(F.broadcast(span)), F.col("_d0"), F.col("_d1"))
-    slots = (
-        keys.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(rules.search_days - 1))))
-        .withColumn("_h", F.explode(_work_hours(rules)))
-        .withColumn("slot_start", _at(F.date_add(F.col("_at").cast("date"), F.col("_n")), F.col("_h")))
-        .filter(F.col("slot_start") > F.col("_at"))
-    )
-    first = slots.join(taken, ["calendar_id", "slot_start"], "left_anti").groupBy("calendar_id", "_at").agg(
-        F.min("slot_start").alias("_free")
-    )
-    joined = wanted.join(
-        first.withColumnRenamed("_at", current), ["calendar_id", current], "left"
-    )
-    return joined.withColumn(out, F.coalesce("_free", _rolled(F.col(current), rules))).drop("_free").select(
-        *[c for c in wanted.columns if c != out], out
-    )
+    keys = wanted.select("calendar_id", F.col(current).alias("start_at"))
+    found = slot_hops(keys, busy, 1, rules).select("calendar_id", F.col("start_at").alias(current), F.col("hop_1").alias(out))
+    return wanted.join(found, ["calendar_id", current], "left").select(*[c for c in wanted.columns if c != out], out)
 
 
 # --- negotiation -----------------------------------------------------------------------------
@@ -207,8 +221,9 @@ def negotiate(bookings: DataFrame, replies: DataFrame, busy: DataFrame, rules: R
         F.when(active & F.col("_no").isNotNull(), moved).otherwise(0).alias("_moves"),
         F.greatest("update_id", F.when(active, F.coalesce(end, F.col("_seen")))).alias("update_id"),
     )
-    for i in range(rules.max_rounds):
-        state = next_free_slot(state, busy, rules=rules).withColumn(
-            "slot_at", F.when(F.col("_moves") > i, F.col("next_slot")).otherwise(F.col("slot_at"))
-        ).drop("next_slot")
-    return state.drop("_moves")
+    waiting = bookings.filter("status = 'sent'").select("calendar_id", F.col("slot_at").alias("start_at"))
+    hops = slot_hops(waiting, busy, rules.max_rounds, rules).withColumnRenamed("start_at", "slot_at")
+    slots = F.array("slot_at", *[f"hop_{i}" for i in range(1, rules.max_rounds + 1)])
+    return state.join(hops, ["calendar_id", "slot_at"], "left").select(
+        "booking_id", "calendar_id", F.get(slots, F.col("_moves")).alias("slot_at"), "status", "round", "update_id"
+    )
