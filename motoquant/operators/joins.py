@@ -24,13 +24,17 @@ def lookup_join(
     rules: Rules = DEFAULT,
     checked: bool | None = None,
 ) -> DataFrame:
-    """Join rows to a lookup table: broadcast if its size allows, else a shuffle join.
+    """Join rows to a lookup table: broadcast if its size allows, else a salted shuffle join.
 
-    The shuffle path relies on adaptive skew splitting of the row side. ``checked`` carries a
-    size decision that is already known, to avoid a second count.
+    ``checked`` carries a size decision that is already known, to avoid a second count. A join on
+    an expression cannot be salted here and is left to adaptive skew splitting.
     """
     fits = small_enough(table, rules) if checked is None else checked
-    return rows.join(F.broadcast(table) if fits else table, on, how)
+    if fits:
+        return rows.join(F.broadcast(table), on, how)
+    if isinstance(on, (str, list)):
+        return salted_lookup_join(rows, table, [on] if isinstance(on, str) else on, how, rules)
+    return rows.join(table, on, how)
 
 
 def salted_lookup_join(
