@@ -50,8 +50,8 @@ def salted_lookup_join(
     the table is repeated once per bucket, the rows are not.
     """
     n = rules.salt_buckets
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(n)))
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(n)))
+    repeated = table.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(n)])))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
