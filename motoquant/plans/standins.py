@@ -19,9 +19,12 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+FACTS = ("lineitem", "orders", "events", "pages", "conversations")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in FACTS else df
 
 
 def _pick(words: str, index: str) -> str:
