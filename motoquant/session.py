@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def own_folder(spark: SparkSession) -> SparkSession:
+    """On one machine, name a temporary folder for intermediate tables if the session names none.
+
+    A cluster must name a folder that all its machines share.
+    """
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.split("[")[0] == "local":
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="motoquant-"))
+    return spark
+
+
 def local_session(cores: int = 8, name: str = "motoquant") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -23,4 +35,4 @@ def local_session(cores: int = 8, name: str = "motoquant") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return own_folder(spark)
