@@ -7,11 +7,14 @@ symbol values with a final mix: equal sequences always get equal hashes on every
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 CHUNK_BYTES = 1 << 21  # texts handled at once in a task; a longer text is a chunk of its own
 _BLOCK = 1 << 20  # bytes hashed at once, so a very long text needs no arrays of its size
@@ -81,11 +84,10 @@ class Words:
         """The text each word belongs to."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self, seed: int = 0, cut: int | None = None) -> np.ndarray:
-        """64-bit hash of every word, or of its first ``cut`` bytes."""
-        out = np.empty(len(self.starts), np.uint64)
+    def hashes(self, seed: int = 0, cuts: tuple[int, ...] = ()):
+        """64-bit hash of every word; with ``cuts``, a list that adds hashes of its first bytes."""
+        outs = [np.empty(len(self.starts), np.uint64) for _ in (0, *cuts)]
         values = _symbols(seed)
-        ends = self.ends if cut is None else np.minimum(self.ends, self.starts + cut)
         at = 0
         while at < len(self.starts):
             low = self.starts[at]
@@ -94,10 +96,14 @@ class Words:
             up, down = _BYTE_POWERS.get(size + 1)
             total = np.zeros(size + 1, np.uint64)
             np.cumsum(values[self.buffer[low : low + size]] * up[:size], out=total[1:])
-            s, e = self.starts[at:to] - low, ends[at:to] - low
-            out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+            s = self.starts[at:to] - low
+            for out, cut in zip(outs, (None, *cuts)):
+                e = self.ends[at:to] - low
+                e = e if cut is None else np.minimum(e, s + cut)
+                out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
             at = to
-        return mix(out)
+        outs = [mix(out) for out in outs]
+        return outs if cuts else outs[0]
 
     def windows(self, k: int) -> np.ndarray:
         """Positions at which ``k`` consecutive words of one text begin."""
@@ -116,6 +122,36 @@ def window_hashes(words: np.ndarray, at: np.ndarray, k: int | np.ndarray) -> np.
     return mix((total[at + k] - total[at]) * down[at] + np.asarray(k, np.uint64))
 
 
+def least_grams(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of every text, and of each the place of its smallest k-gram hash, the rightmost of equals."""
+    n = len(hashes)
+    last = np.repeat(first[1:], np.diff(first))
+    begin = np.flatnonzero(np.arange(n) + window <= last)
+    if not len(begin):
+        return begin, begin
+    least, place = np.full(n, np.iinfo(np.uint64).max, np.uint64), np.arange(n)
+    at = np.flatnonzero(np.arange(n) + k <= last)
+    least[at] = window_hashes(hashes, at, k)
+
+    def widen(shift: int) -> None:
+        nonlocal least, place
+        better = least[shift:] <= least[: n - shift]
+        least = np.where(better, least[shift:], least[: n - shift])
+        place = np.where(better, place[shift:], place[: n - shift])
+
+    width, span = window - k + 1, 1
+    while span < width:
+        shift = min(span, width - span)
+        widen(shift)
+        n, span = n - shift, span + shift
+    return begin, place[begin]
+
+
+def winnow(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> np.ndarray:
+    """Places of the k-grams that are the smallest of a window: equal windows keep equal k-grams."""
+    return np.unique(least_grams(hashes, first, k, window)[1])
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and the offsets of its texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -146,6 +182,26 @@ def words_of(column, inside: np.ndarray = NOT_SPACE, fold: np.ndarray | None = N
     return split_words(*text_buffer(column, fold), inside)
 
 
+def split_kinds(buffer: np.ndarray, offsets: np.ndarray) -> Words:
+    """Runs of letters and digits, and runs of punctuation, as separate words in text order."""
+    kind = np.where(LETTER, 1, np.where(PUNCTUATION, 2, 0)).astype(np.uint8)[buffer]
+    begin, end = kind > 0, kind > 0
+    differs = kind[1:] != kind[:-1]
+    begin[1:] &= differs
+    end[:-1] &= differs
+    full = np.flatnonzero(np.diff(offsets))
+    a, b = offsets[full], offsets[full + 1] - 1
+    begin[a[kind[a] > 0]] = True
+    end[b[kind[b] > 0]] = True
+    starts = np.flatnonzero(begin)
+    return Words(buffer, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets))
+
+
+def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the values between consecutive bounds."""
+    return np.diff(np.concatenate((np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values)))[bounds])
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one piece stay near ``limit`` bytes."""
     for batch in batches:
@@ -172,7 +228,26 @@ def mask_to_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+def lists(values, counts: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
     """A list column from flat values and the length of each list."""
     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), values if kind is None else pa.array(values, kind))
+
+
+def annotate(docs: DataFrame, keep: list[str], fields: str, start: Callable[[], Callable[[pa.RecordBatch], list]], text: str = "text", read: Sequence[str] = ()) -> DataFrame:
+    """The kept columns and new ones that a task computes from pieces of batches.
+
+    ``start`` runs once per task and returns the function from a piece to the new columns. The piece
+    holds the kept columns, the text and those of ``read``.
+    """
+    new = T._parse_datatype_string(fields)
+    schema = T.StructType([docs.schema[c] for c in keep] + new.fields)
+    kinds = [to_arrow_type(f.dataType) for f in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+        for piece in chunks(batches, text):
+            made = [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(step(piece), kinds)]
+            yield pa.RecordBatch.from_arrays([piece.column(c) for c in keep] + made, schema.names)
+
+    return docs.select(*dict.fromkeys([*keep, text, *read])).mapInArrow(run, schema)
