@@ -6,10 +6,11 @@ d = (a + b)(1 - t)/(1 + t) shingles. Shingles are dealt into d + e parts by a ha
 XOR of its shingle hashes. A differing shingle changes one part, so linked sets share at least e parts,
 and one of the d + 1 densest parts of each. Band by band of set sizes, these parts are joined.
 
-A joined part only proposes candidates. Every member of a part is compared with the least member;
-members that this leaves in different components are then compared with each other. Comparison is by
-a parity sketch of 1024 bits first, whose Hamming distance never exceeds the number of differing
-shingles, and exactly by the shingle sets after. So every link is found or its ends are connected.
+A joined part only proposes candidates. Every member of a part is compared with its head, the member
+that shares most parts with others. Members that this leaves in different components are compared with
+each other in blocks of bounded size. Comparison is by a parity sketch of 1024 bits first, whose Hamming
+distance never exceeds the number of differing shingles, and exactly by the shingle sets after; blocks
+give out only pairs that their sketches allow. So every link is found or its ends are connected.
 
 Null texts and texts without words have no shingles and no links. Rows with equal id and text are one
 document; equal ids with different texts are linked only by their texts. An empty table gives an empty
@@ -36,6 +37,9 @@ SKETCH_BITS = 1024
 BAND_RATIO = 1.3
 KNOWN_SETS = 1_000_000  # sets a task remembers, so that copies within it propose nothing again
 BROADCAST_ROWS = 2_000_000  # longs
+BLOCK_MEMBERS = 2048  # members of a part in a block; two blocks meet in a task
+BATCH_MEMBERS = 8192
+TILE = 64
 
 
 @dataclass(frozen=True)
@@ -187,6 +191,66 @@ def _near(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFram
     return pairs.join(one("a"), "a").join(one("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def _across(headed: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
+    """Pairs that share a part, lie in different components and are near by size and sketch.
+
+    A part of many members is cut into blocks, and every two blocks meet in a group of their own.
+    """
+    members = headed.select("key", "set", "n", (F.col("set") == F.col("head")).alias("is_head"), F.coalesce("component", "set").alias("component"))
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    members = members.filter("not is_head").join(mixed, "key").join(sets.select("set", F.col("n").alias("size"), "sketch"), "set")
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.withColumn("other", other).select(
+        "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "set", "component", "size", "sketch",
+    )
+
+    def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of near pairs of one group."""
+        component, size, block = (group.column(c).to_numpy() for c in ("component", "size", "block"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        low, high = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        mine, theirs = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = []
+        for at in range(0, len(mine), TILE):
+            rows = mine[at : at + TILE]
+            a, b = np.meshgrid(rows, theirs, indexing="ij")
+            may = (component[a] != component[b]) & ((low != high) | (a < b))
+            may &= similarity.num * np.maximum(size[a], size[b]) <= similarity.den * np.minimum(size[a], size[b])
+            a, b = a[may], b[may]
+            apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1)
+            near = apart <= similarity.differ(size[a], size[b])
+            found.append((a[near], b[near]))
+        return tuple(np.concatenate(side) for side in zip(*found)) if found else (mine[:0], mine[:0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            names = [rows.column(c).to_numpy() for c in ("key", "x", "y")]
+            edges = np.flatnonzero(np.concatenate(([True], np.any([n[1:] != n[:-1] for n in names], axis=0))))
+            ends = np.append(edges[1:], rows.num_rows)
+            held[:] = [] if last else rows.slice(edges[-1]).to_batches()
+            name, near = rows.column("set").to_numpy(), []
+            for start, end in zip(edges, ends) if last else zip(edges[:-1], ends[:-1]):
+                a, b = compare(rows.slice(start, end - start))
+                near.append((name[start:end][a], name[start:end][b]))
+            if near:
+                a, b = (np.concatenate(side) for side in zip(*near))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BATCH_MEMBERS:
+                yield from whole(False)
+        if held:
+            yield from whole(True)
+
+    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _members(docs: DataFrame, wanted: DataFrame, similarity: Similarity) -> DataFrame:
     """Shingles, in order, of one document of every wanted set. ``wanted``: row and set."""
     rows = docs.select(row_key().alias("row"), "text")
@@ -231,9 +295,12 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity()) -> D
     if sets.filter("clash").limit(1).count():
         raise RuntimeError("two different shingle sets got one 64-bit name")
 
-    part = F.expr("min(set) over (partition by key)"), F.expr("max(set) over (partition by key)"), F.expr("count(1) over (partition by key)")
-    shared = proposals(docs, similarity).select("key", "set", part[0].alias("least"), part[1].alias("most"), part[2].alias("n"))
-    shared = settle(shared.filter("least < most").select("key", "set", "least", "n"), "parts")
+    bounds = [F.expr(f"{f}(set) over (partition by key)") for f in ("min", "max", "count")]
+    shared = proposals(docs, similarity).select("key", "set", *[c.alias(n) for c, n in zip(bounds, ("lo", "hi", "n"))])
+    shared = settle(shared.filter("lo < hi").select("key", "set", "n"), "parts")
+    company = shared.groupBy("set").agg(F.sum("n").alias("company"))
+    heads = shared.join(company, "set").groupBy("key").agg(F.max(F.struct("company", "set"))["set"].alias("head"))
+    headed = settle(shared.join(heads, "key"), "headed")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         near = settle(_near(pairs, sets, similarity), f"near-{name}")
@@ -241,16 +308,11 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity()) -> D
         wanted = settle(sets.select("set", "row").join(ends, "set"), f"wanted-{name}")
         return settle(_verify(near, settle(_members(docs, wanted, similarity), f"members-{name}"), similarity), f"links-{name}")
 
-    first = confirmed(shared.filter("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct(), "least")
+    star = headed.filter("set <> head").select(F.least("head", "set").alias("a"), F.greatest("head", "set").alias("b"))
+    first = confirmed(star.distinct(), "heads")
     group = components(first).withColumnRenamed("node", "set")
-    # parts of two members are settled; of the others, compare across components
-    open_parts = shared.filter("n > 2").join(group, "set", "left").select("key", "set", "least", F.coalesce("component", "set").alias("component"))
-    split = open_parts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_parts = settle(open_parts.join(split, "key"), "open")
-    x, y = open_parts.alias("x"), open_parts.filter("set <> least").alias("y")
-    across = x.filter("x.set <> x.least").join(y, F.expr("x.key = y.key and x.component < y.component"))
-    across = across.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
-    second = confirmed(across, "across")
+    across = _across(headed.filter("n > 2").join(group, "set", "left"), sets, similarity)
+    second = confirmed(across.distinct(), "across")
     group = components(first.unionByName(second)).withColumnRenamed("node", "set")
 
     named = sets.select("set", "least").join(group, "set", "left").select("set", "least", F.coalesce("component", "set").alias("component"))
