@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import FMClassifier, LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +56,9 @@ class Machine:
         return self.intercept + linear + pairs / 2
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -40, 40)))
+        """Probabilities. Pairs let margins grow with the square of the hits, so they are damped first."""
+        damped = np.sign(margins) * np.log1p(np.abs(margins))
+        return 1 / (1 + np.exp(-np.clip(self.slope * damped + self.shift, -40, 40)))
 
 
 def terms_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, featur
     frame = settle(rows.select("label", vector("terms").alias("features")), "toxic-vectors").cache()
     found = FMClassifier(factorSize=factors, maxIter=iterations, stepSize=0.1, regParam=1e-4, initStd=0.05, seed=7, solver="adamW").fit(frame)
     machine = Machine(terms, found.linear.toArray(), found.factors.toArray(), found.intercept)
-    margin = F.udf(lambda p: [float(p[1])], "array<double>")
-    margins = found.transform(frame).select("label", array_to_vector(margin("rawPrediction")).alias("features"))
-    shape = LogisticRegression(regParam=1e-4, maxIter=50).fit(margins)
+    margin = F.element_at(vector_to_array("rawPrediction"), 2)
+    margins = found.transform(frame).select("label", margin.alias("m"))
+    damped = F.signum("m") * F.log1p(F.abs("m"))
+    shape = LogisticRegression(regParam=1e-6, maxIter=100).fit(margins.select("label", array_to_vector(F.array(damped)).alias("features")))
     machine.slope, machine.shift = float(shape.coefficients[0]), float(shape.intercept)
     frame.unpersist()
     return machine
