@@ -235,7 +235,9 @@ def swap_search(lengths: np.ndarray, bin_of: np.ndarray, capacity: int, steps: i
                         break
                 if changed:
                     break
-        if not changed:
+        if changed:
+            settled.clear()
+        else:
             settled.add(donor)
     return bin_of
 
