@@ -57,7 +57,7 @@ class Rules:
     max_rounds: int = 3
     booking_prefix: str = "BKG-"
 
-    listings_per_run: int = 100
+    listings_per_run: int | None = None  # a cap, where one is wanted
     torque_max_nm: float = 2000.0
     earth_radius_km: float = 6371.0
     assistant_name: str = "advisor"

@@ -28,14 +28,24 @@ def gaussian(keys: list[Column | str], salt: str, seed: int, std: float = 1.0) -
     return F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2.0 * math.pi) * v) * std
 
 
+LARGEST_STEP = 500.0
+
+
 def poisson(mean: Column | str, keys: list[Column | str], salt: str, seed: int) -> Column:
     """Poisson draw by walking the distribution function up to the uniform draw.
 
     The walk is long enough for any draw: its length follows the mean, and the far tail that only
-    an extreme uniform can reach gets the longer one.
+    an extreme uniform can reach gets the longer one. A mean beyond ``LARGEST_STEP``, whose first mass
+    no double holds, is the sum of draws with equal shares of it.
     """
     lam = _c(mean)
-    u = uniform(keys, salt, seed)
+    parts = F.ceil(lam / LARGEST_STEP).cast("int")
+    shares = F.transform(F.sequence(F.lit(1), parts), lambda j: _walk(lam / parts, uniform([*keys, j], salt, seed)))
+    total = F.aggregate(shares, F.lit(0), lambda acc, x: acc + x)
+    return F.when(lam > LARGEST_STEP, total).otherwise(_walk(lam, uniform(keys, salt, seed)))
+
+
+def _walk(lam: Column, u: Column) -> Column:
     short, long = lam + 5.0 * F.sqrt(lam) + 6.0, lam + 10.0 * F.sqrt(lam) + 12.0
     last = F.ceil(F.when(u < 0.999999, short).otherwise(long)).cast("int")
     start = F.struct(

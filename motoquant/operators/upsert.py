@@ -52,9 +52,14 @@ def upsert(
 
 
 def capped_union(
-    first: DataFrame, second: DataFrame, cap: int, order: list[str]
+    first: DataFrame, second: DataFrame, cap: int | None, order: list[str]
 ) -> DataFrame:
-    """First source up to the cap, the second fills what is left; top-k per partition, then merged."""
+    """First source up to the cap, the second fills what is left; top-k per partition, then merged.
+
+    Without a cap all rows are kept.
+    """
+    if cap is None:
+        return first.unionByName(second)
     both = first.withColumn("_source_rank", F.lit(0)).unionByName(
         second.withColumn("_source_rank", F.lit(1))
     )

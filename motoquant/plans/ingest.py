@@ -25,7 +25,8 @@ def ingest(
     """New state of the listing table and the run's summary.
 
     Pages that are challenges or server errors are left out. ``extract`` replaces an extractor by
-    source name. At most ``listings_per_run`` rows are stored, the first source going first.
+    source name. All kept rows are stored, or ``listings_per_run`` of them
+    where the rules name a cap, the first source going first.
     """
     by_source = {
         "classifieds": lambda p: pages.bootstrap_listings(p, base, rules=rules),

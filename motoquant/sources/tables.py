@@ -188,11 +188,9 @@ def append_with_resume(new: DataFrame, path: str, key: str = "source_url") -> in
     """Append rows with unseen keys to a parquet table; returns how many were added."""
     spark = new.sparkSession
     reader = spark.read.schema(new.schema)
-    try:
-        existing = reader.parquet(path)
-        existing.limit(1).count()
-    except Exception:  # no such table yet
-        existing = spark.createDataFrame([], new.schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    existing = reader.parquet(path) if there else spark.createDataFrame([], new.schema)
     # settle the selection first: it must not be re-evaluated while the table grows
     todo = materialise(not_yet_written(new, existing, key), "resume")
     added = todo.count()
