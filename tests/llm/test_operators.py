@@ -249,10 +249,10 @@ def test_toxicity_finds_held_out_rows(spark, no_docs):
     plain = [f"word{n}" for n in range(300)]
     rows, labels = [], []
     for n in range(1500):
-        words = [rng.choice(plain) for _ in range(30)]
+        words = [rng.choice(plain) for _ in range(rng.choice((3, 10, 30)))]
         bad = n % 6 == 0
         if bad:
-            words[rng.randrange(30)] = rng.choice(("Idiot!", "scumling", "scumster", "scumoid"))
+            words[rng.randrange(len(words))] = rng.choice(("Idiot!", "scumling", "scumster", "scumoid"))
         rows.append((n, " ".join(words), "s"))
         labels.append((n, 1, int(bad)))
     docs = table(spark, rows + [(5000, None, None), (5001, "", "s"), (None, "idiot", "s"), (5002, "word1 scumling word2", "s"), (5003, "word1 scumful word2", "s")], extra=True)
