@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, featur
     if not len(terms):
         share = min(max(share, 0.0), 1.0)
         log_odds = -40.0 if share == 0 else 40.0 if share == 1 else float(np.log(share / (1 - share)))
-        return Machine(terms, np.zeros(0), np.zeros((0, factors)), log_odds)
+        return Machine(terms, np.zeros(0), np.zeros((0, factors)), 0.0, slope=0.0, shift=log_odds)
 
     @F.udf(VectorUDT())
     def vector(row: list[int]):
