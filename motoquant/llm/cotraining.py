@@ -21,8 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motoquant.llm.quality import verdicts
@@ -31,6 +32,7 @@ from motoquant.llm.words import NOT_NEWLINE, annotate, byte_class, lists, split_
 
 LABELLED_ROWS = 12_000
 POOL_ROWS = 12_000
+PARTITIONS = 4  # of the bounded sample: few enough for the fits to add up gradients without a shuffle
 ROUNDS = 3
 SURE = 0.95
 TEXT_SIZE = 1 << 12
@@ -115,17 +117,20 @@ def samples(docs: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: i
 
 
 def _fit(rows: DataFrame, view: str):
-    return LogisticRegression(featuresCol=view, labelCol="label", regParam=1e-3, maxIter=40).fit(rows)
+    return LogisticRegression(featuresCol=view, labelCol="label", regParam=1e-3, maxIter=40).fit(rows.coalesce(PARTITIONS))
 
 
 def _margin(rows: DataFrame, model, view: str) -> DataFrame:
-    margin = F.udf(lambda v: float(v[1]), "double")
     scored = model.transform(rows.select("doc_id", "label", "held", "text", "meta"))
-    return scored.select("doc_id", "label", "held", "text", "meta", margin("rawPrediction").alias("margin"))
+    return scored.select("doc_id", "label", "held", "text", "meta", _second("rawPrediction").alias("margin"))
+
+
+def _second(vector: str) -> Column:
+    return F.element_at(vector_to_array(vector), 2)
 
 
 def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
-    frame = samples(docs, labels, labelled_rows, pool_rows).cache()
+    frame = samples(docs, labels, labelled_rows, pool_rows).coalesce(PARTITIONS).cache()
     known = frame.filter("label is not null")
     share = known.agg(F.avg("label")).first()[0]
     own = known.filter("not held")
@@ -145,16 +150,15 @@ def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
             lent[other] = certain.withColumn("label", (F.col("margin") > 0).cast("double")).drop("margin")
         models = {view: _fit(own.unionByName(lent[view].select(*own.columns)), view) for view in models}
     held = known.filter("held").select("doc_id", "label", "held", "text", "meta")
-    as_vector = F.udf(lambda *m: Vectors.dense([float(x) for x in m]), VectorUDT())
     calibrations = []
     for view in ("text", "meta"):
-        line = _fit(_margin(held, models[view], view).select("label", as_vector("margin").alias("m")), "m")
+        line = _fit(_margin(held, models[view], view).select("label", array_to_vector(F.array("margin")).alias("m")), "m")
         calibrations.append((float(line.coefficients[0]), float(line.intercept)))
-    both = _margin(held, models["text"], "text").withColumnRenamed("margin", "a").select("doc_id", "label", "a", "meta", "text", "held")
-    paired = models["meta"].transform(both)
-    margin = F.udf(lambda v: float(v[1]), "double")
     (ta, tb), (ma, mb) = calibrations
-    stacked = _fit(paired.select("label", as_vector(F.col("a") * ta + tb, margin("rawPrediction") * ma + mb).alias("m")), "m")
+    by_text = _margin(held, models["text"], "text").select("label", "meta", "margin")
+    by_both = models["meta"].transform(by_text)
+    views = F.array(F.col("margin") * ta + tb, _second("rawPrediction") * ma + mb)
+    stacked = _fit(by_both.select("label", array_to_vector(views).alias("m")), "m")
     frame.unpersist()
     linear = lambda m: Linear(m.coefficients.toArray(), float(m.intercept))
     return CoTrained(linear(models["text"]), linear(models["meta"]), tuple(calibrations), linear(stacked))
