@@ -64,6 +64,7 @@ class Rules:
 
     # Scale guards: above these sizes a join is left to the shuffle path.
     broadcast_max_rows: int = 200_000
+    forest_max_leaves: int = 5_000_000
     salt_buckets: int = 32
 
     sources: tuple[str, ...] = field(default=("classifieds", "dealers"))

@@ -66,14 +66,21 @@ def capped_union(
     return both.orderBy("_source_rank", *order).limit(cap).drop("_source_rank")
 
 
-def run_summary(outcomes: DataFrame, stored: DataFrame) -> DataFrame:
-    """Per source: pages' outcomes, rows stored and their gaps, with the grand total stored.
+def run_summary(
+    outcomes: DataFrame, stored: DataFrame, pages: DataFrame | None = None, sources: list[str] | None = None
+) -> DataFrame:
+    """Per source: status and error, row outcomes, rows stored and their gaps, with the grand total stored.
 
     ``outcomes``: source, outcome (kept, other_brand, unparseable). ``stored``: listings written.
+    ``pages``: source, status, one row per stored page. ``sources``: names listed even without rows.
+    A source of which no page is good has ``fetch_failed`` and its kinds of bad pages as error; kept rows
+    that are not stored, for a cap or a repeated URL, count as ``capped``.
     """
+    spark = outcomes.sparkSession
     seen = outcomes.groupBy("source").agg(
         F.count(F.lit(1)).alias("fetched"),
         F.count_if(F.col("outcome") != "kept").alias("skipped"),
+        F.count_if(F.col("outcome") == "kept").alias("_kept"),
     )
     kept = stored.groupBy("source").agg(
         F.count(F.lit(1)).alias("stored"),
@@ -81,10 +88,23 @@ def run_summary(outcomes: DataFrame, stored: DataFrame) -> DataFrame:
         F.count_if(F.col("fuel_type").isNull()).alias("missing_fuel_type"),
         F.count_if(F.col("mileage").isNull()).alias("missing_mileage"),
     )
-    joined = seen.join(kept, "source", "full_outer").na.fill(0)
+    pages = spark.createDataFrame([], "source string, status string") if pages is None else pages
+    bad = F.col("status") != "ok"
+    read = pages.groupBy("source").agg(
+        F.count_if(bad).alias("bad_pages"), F.count_if(~bad).alias("_good"),
+        F.array_join(F.array_sort(F.collect_set(F.when(bad, F.col("status")))), ", ").alias("_kinds"),
+    )
+    named = spark.createDataFrame([(s,) for s in sources or []], "source string")
+    joined = seen.join(kept, "source", "full_outer").join(read, "source", "full_outer").join(named, "source", "full_outer").na.fill(0)
+    failed = (F.col("bad_pages") > 0) & (F.col("_good") == 0)
     total = stored.agg(F.count(F.lit(1)).alias("total_stored"))
     # one-row total on every source row
-    return joined.join(F.broadcast(total))
+    return joined.join(F.broadcast(total)).select(
+        "source", F.when(failed, "fetch_failed").otherwise("ok").alias("status"),
+        F.when(failed, F.col("_kinds")).otherwise("").alias("error"), "fetched", "skipped", "stored",
+        (F.col("_kept") - F.col("stored")).alias("capped"), "bad_pages",
+        "missing_transmission", "missing_fuel_type", "missing_mileage", "total_stored",
+    )
 
 
 def fault_codes(layers: DataFrame) -> DataFrame:

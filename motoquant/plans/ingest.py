@@ -14,6 +14,10 @@ from motoquant.sources import tables
 STORED = [c for c in pages.LISTING_COLUMNS if c not in ("page_id", "outcome")] + ["scraped_at"]
 
 
+def statuses(stored: DataFrame, source: str) -> DataFrame:
+    return stored.select(F.lit(source).alias("source"), pages.page_status(F.col("html")).alias("status"))
+
+
 def ingest(
     classified_pages: DataFrame,
     dealer_pages: DataFrame,
@@ -24,7 +28,7 @@ def ingest(
 ) -> tuple[DataFrame, DataFrame]:
     """New state of the listing table and the run's summary.
 
-    Pages that are challenges or server errors are left out. ``extract`` replaces an extractor by
+    Pages that are challenges or server errors are left out and counted in the summary. ``extract`` replaces an extractor by
     source name. All kept rows are stored, or ``listings_per_run`` of them
     where the rules name a cap, the first source going first.
     """
@@ -44,4 +48,5 @@ def ingest(
     )
     batch = tables.materialise(batch, "batch")
     new_state = upsert.upsert(state, batch.select(*STORED, "page_id"), ["page_id"])
-    return new_state, upsert.run_summary(rows, batch)
+    read = statuses(classified_pages, "classifieds").unionByName(statuses(dealer_pages, "dealers"))
+    return new_state, upsert.run_summary(rows, batch, read, list(by_source))

@@ -315,18 +315,36 @@ def _outcomes(df: DataFrame) -> DataFrame:
     )
 
 
+def _read_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Stored pages of three sources, some of them bad and all of the auctions' bad."""
+    k = F.col("page_id")
+    source = F.when(k % 7 == 0, "auctions").when(k % 2 == 0, "classifieds").otherwise("dealers")
+    status = F.when(k % 7 == 0, F.when(k % 2 == 0, "challenge").otherwise("empty")).when(k % 5 == 0, "server_error").otherwise("ok")
+    return frame(spark, d, "pages").select(source.alias("source"), status.alias("status"))
+
+
 QUERIES["r45_run_summary"] = lambda spark, d: U.run_summary(
     _outcomes(frame(spark, d, "market_listing")),
-    frame(spark, d, "market_listing").filter("model is not null and seller_type <> 'unknown'"),
+    frame(spark, d, "market_listing").filter("model is not null and seller_type <> 'unknown' and listing_id % 3 <> 0"),
+    _read_pages(spark, d), ["classifieds", "dealers", "private"],
 )
 ORACLES["r45_run_summary"] = f"""{ctes('market_listing')},
-t AS (SELECT *, model IS NOT NULL AND seller_type <> 'unknown' AS kept FROM market_listing)
-SELECT source, count(*) AS fetched, count(*) FILTER (WHERE NOT kept) AS skipped,
-  count(*) FILTER (WHERE kept) AS stored,
-  count(*) FILTER (WHERE kept AND transmission IS NULL) AS missing_transmission,
-  count(*) FILTER (WHERE kept AND fuel_type IS NULL) AS missing_fuel_type,
-  count(*) FILTER (WHERE kept AND mileage IS NULL) AS missing_mileage,
-  (SELECT count(*) FROM t WHERE kept) AS total_stored FROM t GROUP BY source"""
+t AS (SELECT *, model IS NOT NULL AND seller_type <> 'unknown' AS kept FROM market_listing),
+w AS (SELECT *, kept AND listing_id % 3 <> 0 AS written FROM t),
+p AS (SELECT CASE WHEN page_id % 7 = 0 THEN 'auctions' WHEN page_id % 2 = 0 THEN 'classifieds' ELSE 'dealers' END AS source,
+  page_id % 7 = 0 OR page_id % 5 = 0 AS bad FROM pages),
+b AS (SELECT source, count(*) FILTER (WHERE bad) AS bad_pages, count(*) FILTER (WHERE NOT bad) AS good FROM p GROUP BY 1),
+n AS (SELECT unnest(['auctions', 'classifieds', 'dealers', 'private']) AS source)
+SELECT n.source, CASE WHEN n.source = 'auctions' THEN 'fetch_failed' ELSE 'ok' END AS status,
+  CASE WHEN n.source = 'auctions' THEN 'challenge, empty' ELSE '' END AS error,
+  count(w.source) AS fetched, count(*) FILTER (WHERE NOT kept) AS skipped,
+  count(*) FILTER (WHERE written) AS stored, count(*) FILTER (WHERE kept AND NOT written) AS capped,
+  coalesce(any_value(b.bad_pages), 0) AS bad_pages,
+  count(*) FILTER (WHERE written AND transmission IS NULL) AS missing_transmission,
+  count(*) FILTER (WHERE written AND fuel_type IS NULL) AS missing_fuel_type,
+  count(*) FILTER (WHERE written AND mileage IS NULL) AS missing_mileage,
+  (SELECT count(*) FROM w WHERE written) AS total_stored
+FROM n LEFT JOIN w ON w.source = n.source LEFT JOIN b ON b.source = n.source GROUP BY n.source"""
 
 
 def _layers(spark: SparkSession, d: str) -> DataFrame:
@@ -371,6 +389,24 @@ UNION ALL
 SELECT source_file, 'ODX-REPORT-STATUS', 'ODX diagnostic service exposes resp_3', 'info', min(layer)
 FROM k WHERE l_suppkey % 5 = 0 AND l_linenumber = 3 GROUP BY source_file"""
 
+def _fault_state(spark: SparkSession, d: str) -> DataFrame:
+    """Stored codes: every part whose key is even, once."""
+    return frame(spark, d, "part").filter("p_partkey % 2 = 0").select(
+        F.concat(F.lit("P"), F.col("p_partkey")).alias("code"), F.lit("stored").alias("description"),
+        F.lit("old").alias("severity"), F.lit("old").alias("system"),
+    )
+
+
+QUERIES["r46_upsert_fault_codes"] = lambda spark, d: U.upsert_fault_codes(
+    _fault_state(spark, d), U.fault_codes(_layers(spark, d))
+).select("code", "description", "severity", "system")
+ORACLES["r46_upsert_fault_codes"] = f"""
+WITH f AS ({ORACLES['r46_fault_codes']}),
+b AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY source_file DESC, system DESC) AS rn FROM f),
+s AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS code FROM part WHERE p_partkey % 2 = 0)
+SELECT code, description, severity, system FROM b WHERE rn = 1
+UNION ALL SELECT code, 'stored', 'old', 'old' FROM s WHERE code NOT IN (SELECT code FROM b)"""
+
 # --- comparables -----------------------------------------------------------------------------
 
 COMPS_CTES = f"""{ctes('subject', 'market_listing')},

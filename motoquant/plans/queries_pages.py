@@ -120,12 +120,13 @@ ORACLES["r28_card_listings"] = f"{LINKED} SELECT * FROM c"
 
 SQL["dealer_detail"] = f"""
 SELECT o.o_orderkey AS page_id, 'https://dealers.example/x' AS url,
-{_page('''<html><head><link rel="canonical" href="https://dealers.example/detail/<<''' + _s(K) + '''>>?utm=1">
+CASE WHEN o.o_orderkey % 5 = 0 THEN {_page('<html><head><meta name="WT.z_price" content="RM 99,500"><meta name="WT.z_location" content="Johor"></head><body>' + CARD + '</body></html>')}
+ELSE {_page('''<html><head><link rel="canonical" href="https://dealers.example/detail/<<''' + _s(K) + '''>>?utm=1">
 <meta name="WT.z_price" content="228000"><meta name="WT.z_transmission" content="manual"><meta name="WT.z_Fueltype" content="diesel">
 <meta name="WT.z_location" content="Penang"><meta name="WT.z_model" content="E300"><meta name="ga:cad:details:profile_type" content="<<''' + _pick('Dealer|Private Seller|Club', K) + '''>>">
 <script type="application/ld+json">{"@type": "BreadcrumbList"}</script>
 <script type="application/ld+json">[{"@type": "Car", "name": "<<''' + _pick('BMW 3|2020 Mercedes-Benz E300', K) + '''>>", "brand": {"name": "<<''' + _pick('BMW|Mercedes-Benz', K) + '''>>"},
- "vehicleModelDate": "2020", "mainEntityOfPage": {"@id": "https://dealers.example/y"}, "offers": {"price": "<<''' + PRICE + '''>>"}}]</script></head></html>''')} AS html
+ "vehicleModelDate": "2020", "mainEntityOfPage": {"@id": "https://dealers.example/y"}, "offers": {"price": "<<''' + PRICE + '''>>"}}]</script></head></html>''')} END AS html
 FROM {{orders}} o
 """
 QUERIES["r29_linked_detail"] = lambda s, d: P.linked_detail(frame(s, d, "dealer_detail"))
@@ -133,7 +134,12 @@ ORACLES["r29_linked_detail"] = """SELECT o_orderkey AS page_id, 'dealers' AS sou
   'E_CLASS' AS model, 'E300' AS variant, CAST(2020 AS INTEGER) AS year, CAST(floor(o_totalprice) AS BIGINT) AS price_rm, CAST(NULL AS BIGINT) AS mileage,
   'Manual' AS transmission, 'Diesel' AS fuel_type, 'Penang' AS location,
   CASE o_orderkey % 3 WHEN 0 THEN 'dealer' WHEN 1 THEN 'private' ELSE 'unknown' END AS seller_type, CAST(NULL AS VARCHAR) AS posted_at, 'kept' AS outcome
-FROM orders WHERE o_orderkey % 2 = 1"""
+FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 <> 0
+UNION ALL SELECT o_orderkey, 'dealers', 'https://dealers.example/card/' || CAST(o_orderkey AS VARCHAR),
+  CASE o_orderkey % 4 WHEN 0 THEN 'C_CLASS' WHEN 1 THEN 'E_CLASS' WHEN 2 THEN 'GLC_CLASS' ELSE 'A_CLASS' END,
+  CASE o_orderkey % 4 WHEN 0 THEN 'C200' WHEN 1 THEN 'E300' WHEN 2 THEN 'GLC250' ELSE 'A180' END,
+  CAST(2000 + o_orderkey % 25 AS INTEGER), CAST(99500 AS BIGINT), CAST(NULL AS BIGINT), 'Manual', CAST(NULL AS VARCHAR), 'Johor', 'unknown', CAST(NULL AS VARCHAR), 'kept'
+FROM orders WHERE o_orderkey % 5 = 0"""
 
 SQL["classified_detail"] = f"""
 SELECT o.o_orderkey AS page_id, 'https://cars.example/x' AS url,

@@ -163,7 +163,7 @@ def _ridge_predictions(s: SparkSession, d: str) -> DataFrame:
 def _tree_values(s: SparkSession, d: str) -> DataFrame:
     train, model = _fitted(s, d)
     table = ML.save_and_table(model, s, S.shared_dir(s, "forest"))
-    return ML.with_tree_values(model.transform(train), table)
+    return ML.with_tree_values(model.transform(train), table, ["row_key", "part_key", "supp_key"])
 
 
 QUERIES["r61_preprocess"] = lambda s, d: (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from motoquant.config import CATEGORICAL_FEATURES, DEFAULT, NUMERIC_FEATURES, TARGET, Rules
 from motoquant.operators import bands, features, harmonise, match, model
@@ -25,11 +26,13 @@ def train(
 ) -> dict:
     """Write the engineered table, validate, fit on all rows, save model, tree table and report."""
     spark = uk_raw.sparkSession
-    tables.write_table(engineered(uk_raw, germany_raw, spec_raw, rules), f"{out}/engineered")
+    # the written table settles the row ids
+    rows = engineered(uk_raw, germany_raw, spec_raw, rules).withColumn("row_id", F.monotonically_increasing_id())
+    tables.write_table(rows, f"{out}/engineered")
     table = spark.read.parquet(f"{out}/engineered")
-    frame = model.model_frame(table, CATEGORICAL_FEATURES, NUMERIC_FEATURES, [TARGET])
+    frame = model.model_frame(table, CATEGORICAL_FEATURES, NUMERIC_FEATURES, [TARGET, "row_id"])
     _, report = model.cross_validate(frame, rules, folds, trees, depth)
-    coverage = model.band_coverage(frame, f"{out}/folds", rules, folds, trees, depth)
+    coverage = model.band_coverage(frame, f"{out}/folds", rules, folds, trees, depth, key=["row_id"])
     fitted = model.fit(frame, model.forest(rules, trees=trees, depth=depth))
     params = {"trees": trees or rules.forest_trees, "depth": depth or rules.forest_depth, "min_leaf": rules.forest_min_leaf}
     summary = tables.model_report(report, coverage, table, params, rules)
@@ -43,5 +46,5 @@ def price(spark: SparkSession, out: str, profiles: DataFrame, specs: DataFrame,
     ready = features.score_ready(profiles, specs, rules)
     frame = model.model_frame(ready, CATEGORICAL_FEATURES, NUMERIC_FEATURES, ["profile_id"])
     scored = PipelineModel.load(f"{out}/model").transform(frame)
-    valued = bands.percentile_band(model.with_tree_values(scored, spark.read.parquet(f"{out}/trees")), rules=rules)
+    valued = bands.percentile_band(model.with_tree_values(scored, spark.read.parquet(f"{out}/trees"), ["profile_id"], rules), rules=rules)
     return valued.select("profile_id", "value_rm", "low_rm", "high_rm", "confidence")

@@ -39,6 +39,10 @@ def test_trees_average_to_the_prediction(spark, cars, tmp_path):
     scored = ML.with_tree_values(model.transform(cars), table)
     gap = scored.select(F.max(F.abs(B.array_mean("trees") - F.col("prediction")))).first()[0]
     assert gap < 1e-6
+    joined = ML.with_tree_values(model.transform(cars), table, ["id"], Rules(forest_max_leaves=1))
+    assert joined.select("id", "trees").exceptAll(scored.select("id", "trees")).count() == 0 and joined.count() == 240
+    with pytest.raises(ValueError):
+        ML.with_tree_values(model.transform(cars), table, rules=Rules(forest_max_leaves=1))
     band = B.percentile_band(scored)
     assert band.filter("low_rm > value_rm or value_rm > high_rm or low_rm < 0").count() == 0
     assert ML.tree_predictions(scored, "id").count() == 240 * 6
@@ -72,6 +76,8 @@ def test_cross_validation_and_importances(spark, cars, tmp_path, monkeypatch):
     assert abs(sum(r["importance"] for r in top) - 1) < 1e-6
     perm = {r[0]: r[1] for r in ML.permutation_importance(model, cars, ["id"], CAT + NUM, repeats=2).collect()}
     assert perm["mileage"] > perm["boot_l"]
+    numbered = ML._numbered(cars, ["id"], 7).agg(F.count_distinct("_rn"), F.min("_rn"), F.max("_rn"), F.max("_n")).first()
+    assert tuple(numbered) == (240, 0, 239, 240)
 
 
 def test_ablation_pairs_folds(spark, cars):
