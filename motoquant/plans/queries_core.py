@@ -293,17 +293,17 @@ SELECT coalesce(s.listing_url, b.listing_url) AS listing_url, coalesce(s.source,
   CASE WHEN b.listing_url IS NOT NULL THEN b.scraped_at ELSE s.scraped_at END AS scraped_at
 FROM s FULL OUTER JOIN b ON s.listing_url = b.listing_url"""
 
+LISTING_CAP = 40_000  # more than the first source has at the smaller scales, so that the second fills up
 CAP_ORDER = ["listing_id", "listing_url", "price_rm", "posted_at"]
 QUERIES["r44_capped_union"] = lambda spark, d: U.capped_union(
-    frame(spark, d, "market_listing").filter("source = 'classifieds' and price_rm < 2400"),
+    frame(spark, d, "market_listing").filter("source = 'classifieds'"),
     frame(spark, d, "market_listing").filter("source = 'dealers'"),
-    100, CAP_ORDER,
+    LISTING_CAP, CAP_ORDER,
 ).select("source", "listing_id", "listing_url", "price_rm")
 ORACLES["r44_capped_union"] = f"""{ctes('market_listing')}
 SELECT source, listing_id, listing_url, price_rm FROM (
-  SELECT *, CASE WHEN source = 'classifieds' THEN 0 ELSE 1 END AS pr FROM market_listing
-  WHERE source = 'dealers' OR price_rm < 2400)
-ORDER BY pr, listing_id, listing_url, price_rm, posted_at LIMIT 100"""
+  SELECT *, CASE WHEN source = 'classifieds' THEN 0 ELSE 1 END AS pr FROM market_listing)
+ORDER BY pr, listing_id, listing_url, price_rm, posted_at LIMIT {LISTING_CAP}"""
 
 
 def _outcomes(df: DataFrame) -> DataFrame:

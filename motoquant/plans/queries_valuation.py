@@ -227,17 +227,17 @@ QUERIES["r05_market_features"] = lambda s, d: S.market_features(frame(s, d, "mar
 ORACLES["r05_market_features"] = f"""{ctes('market_listing')} SELECT source, listing_url, model, year, CAST(2026 - year AS INTEGER) AS age, mileage, price_rm,
   transmission, fuel_type, CAST(NULL AS DOUBLE) AS engine_size, variant, location, seller_type, posted_at, scraped_at FROM market_listing"""
 _SHAPE_KNOWN = {
-    "specific model of the car": "model || coalesce(' ' || variant, '')", "gear type/transmission": "transmission",
+    "specific model of the car": "concat_ws(' ', model, nullif(variant, ''))", "gear type/transmission": "transmission",
     "mileage": "mileage", "fuel type": "fuel_type", "year of the car": "year", "price (RM)": "price_rm",
 }
-QUERIES["r06_spec_shape"] = lambda s, d: S.spec_shape(frame(s, d, "market_listing").filter("model is not null"))
+QUERIES["r06_spec_shape"] = lambda s, d: S.spec_shape(frame(s, d, "market_listing"))
 ORACLES["r06_spec_shape"] = f"{ctes('market_listing')} SELECT " + ", ".join(
     f'{_SHAPE_KNOWN.get(c, "CAST(NULL AS VARCHAR)")} AS "{c}"' for c in S.SPEC_SHAPE_COLUMNS
-) + " FROM market_listing WHERE model IS NOT NULL"
-QUERIES["r06_spec_shape_compact"] = lambda s, d: S.spec_shape(frame(s, d, "market_listing").filter("model is not null"), compact=True)
+) + " FROM market_listing"
+QUERIES["r06_spec_shape_compact"] = lambda s, d: S.spec_shape(frame(s, d, "market_listing"), compact=True)
 ORACLES["r06_spec_shape_compact"] = f"{ctes('market_listing')} SELECT " + ", ".join(
     f'{_SHAPE_KNOWN.get(c, c)} AS "{c}"' for c in S.COMPACT_COLUMNS
-) + " FROM market_listing WHERE model IS NOT NULL"
+) + " FROM market_listing"
 QUERIES["r06_spec_shape_summary"] = lambda s, d: S.spec_shape_summary(S.spec_shape(frame(s, d, "market_listing")))
 ORACLES["r06_spec_shape_summary"] = f"""{ctes('market_listing')} SELECT count(*) AS rows, count(*) AS missing_technical_specs,
   count(*) - count(transmission) AS missing_transmission, count(*) - count(fuel_type) AS missing_fuel_type, count(*) - count(mileage) AS missing_mileage FROM market_listing"""
