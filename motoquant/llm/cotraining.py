@@ -2,12 +2,13 @@
 
 Two logistic regressions see different views of a document: its text (hashed words and punctuation
 runs) and its metadata (language, source, length and layout). Starting from labelled documents, each
-round either view labels the pool documents it is sure of for the other view. Both are then calibrated
+round either view labels the unlabelled documents it is sure of for the other view. Both are then calibrated
 on labelled documents that no round trained on, and a third regression on the two calibrated margins
 gives the score of every document.
 
-The labelled sample has at most ``LABELLED_ROWS`` and the unlabelled pool at most ``POOL_ROWS``
-documents, those of the smallest hash of their id; scoring covers all. Null texts are empty, null
+The labelled sample has at most ``LABELLED_ROWS`` documents, those of the smallest hash of their id.
+Every round judges all unlabelled documents, and fits on all that it is sure of; scoring covers all
+documents. Null texts are empty, null
 metadata is a value of its own. Conflicting labels of one id count as bad. Without labels of both kinds
 every score is the share of good labels, 0.5 if there are none. Repeated rows score alike. An empty
 table gives an empty result. Other columns are ignored.
@@ -22,17 +23,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motoquant.llm.quality import verdicts
 from motoquant.llm.store import settle, table
 from motoquant.llm.words import NOT_NEWLINE, annotate, byte_class, lists, split_kinds, split_words, sums, text_buffer
+from motoquant.operators.joins import lookup_join
+from motoquant.sources.tables import shared_dir
 
 LABELLED_ROWS = 12_000
-POOL_ROWS = 12_000
-PARTITIONS = 4  # of the bounded sample: few enough for the fits to add up gradients without a shuffle
+PARTITIONS = 4  # of the labelled sample: few enough for the fits to add up gradients without a shuffle
+TASK_ROWS = 25_000  # unlabelled documents in a task of a fit
 ROUNDS = 3
 SURE = 0.95
 TEXT_SIZE = 1 << 12
@@ -92,32 +96,41 @@ class CoTrained:
         return [np.round(1 / (1 + np.exp(-np.clip(m, -30, 30))), 9) for m in (*margins, total)]
 
 
-def samples(docs: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: int) -> DataFrame:
-    """Both views of the bounded labelled sample and pool; a fifth of the labelled is for calibration."""
+VIEWS = ", ".join(f"{view} struct<type: tinyint, size: int, indices: array<int>, values: array<double>>" for view in ("text", "meta"))
+
+
+def samples(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+    """Both views of the labelled sample and of all unlabelled documents; a fifth of the labelled is for calibration."""
     good = verdicts(labels).select("doc_id", F.col("good").cast("double").alias("label"))
-    known = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    rest = ids.join(good, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows)
-    chosen = settle(known.unionByName(rest.select("doc_id", F.lit(None).cast("double").alias("label"))), "co-rows")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *META).join(F.broadcast(chosen), "doc_id")
+    known = settle(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("doc_id", F.lit(True).alias("chosen")), "co-rows")
+    marks = settle(good.join(F.broadcast(known), "doc_id", "left"), "co-labels")
+    rows = lookup_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *META), marks, "doc_id").filter("label is null or chosen")
+
+    def vectors(kind: int, size: int | None, indices: pa.Array, values: pa.Array) -> pa.Array:
+        n = len(values)
+        return pa.StructArray.from_arrays([pa.array([kind] * n, pa.int8()), pa.array([size] * n, pa.int32()), indices, values], ["type", "size", "indices", "values"])
 
     def start():
         def step(piece: pa.RecordBatch) -> list:
             text, place, value = text_view(piece.column("text"))
             per_row = np.bincount(text, minlength=piece.num_rows)
-            meta = meta_view(piece)
-            return [lists(place, per_row, pa.int32()), lists(value, per_row, pa.float64()), lists(meta.ravel(), np.full(piece.num_rows, META_SIZE), pa.float64())]
+            meta = lists(meta_view(piece).ravel(), np.full(piece.num_rows, META_SIZE), pa.float64())
+            return [
+                vectors(0, TEXT_SIZE, lists(place, per_row, pa.int32()), lists(value, per_row, pa.float64())),
+                vectors(1, None, pa.nulls(piece.num_rows, pa.list_(pa.int32())), meta),
+            ]
         return step
 
-    raw = settle(annotate(rows, ["doc_id", "label"], "places array<int>, amounts array<double>, meta array<double>", start, read=META), "co-views")
-    sparse = F.udf(lambda places, amounts: Vectors.sparse(TEXT_SIZE, places, amounts), VectorUDT())
-    dense = F.udf(lambda values: Vectors.dense(values), VectorUDT())
+    # written as the plain columns of a vector and read as vectors, so no row passes through Python objects
+    path = shared_dir(docs.sparkSession, "co-vectors")
+    annotate(rows, ["doc_id", "label"], VIEWS, start, read=META).write.parquet(path)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.DoubleType()), T.StructField("text", VectorUDT()), T.StructField("meta", VectorUDT())])
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)) == 0
-    return settle(raw.select("doc_id", "label", held.alias("held"), sparse("places", "amounts").alias("text"), dense("meta").alias("meta")), "co-vectors")
+    return docs.sparkSession.read.schema(schema).parquet(path).select("doc_id", "label", held.alias("held"), "text", "meta")
 
 
-def _fit(rows: DataFrame, view: str):
-    return LogisticRegression(featuresCol=view, labelCol="label", regParam=1e-3, maxIter=40).fit(rows.coalesce(PARTITIONS))
+def _fit(rows: DataFrame, view: str, partitions: int = PARTITIONS):
+    return LogisticRegression(featuresCol=view, labelCol="label", regParam=1e-3, maxIter=40).fit(rows.coalesce(partitions))
 
 
 def _margin(rows: DataFrame, model, view: str) -> DataFrame:
@@ -129,9 +142,9 @@ def _second(vector: str) -> Column:
     return F.element_at(vector_to_array(vector), 2)
 
 
-def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
-    frame = samples(docs, labels, labelled_rows, pool_rows).coalesce(PARTITIONS).cache()
-    known = frame.filter("label is not null")
+def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
+    frame = samples(docs, labels, labelled_rows)
+    known = frame.filter("label is not null").repartition(PARTITIONS).cache()
     share = known.agg(F.avg("label")).first()[0]
     own = known.filter("not held")
     kinds = own.agg(F.count_distinct("label")).first()[0]
@@ -141,6 +154,7 @@ def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
         none = Linear(np.zeros(2), float(np.log(share / (1 - share))))
         return CoTrained(Linear(np.zeros(TEXT_SIZE), 0.0), Linear(np.zeros(META_SIZE), 0.0), ((0.0, none.intercept), (0.0, none.intercept)), none)
     pool = frame.filter("label is null")
+    partitions = max(PARTITIONS, -(-pool.count() // TASK_ROWS))
     edge = float(np.log(sure / (1 - sure)))
     models = {view: _fit(own, view) for view in ("text", "meta")}
     for _ in range(rounds):
@@ -148,7 +162,7 @@ def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
         for view, other in (("text", "meta"), ("meta", "text")):
             certain = _margin(pool, models[view], view).filter(F.abs("margin") >= edge)
             lent[other] = certain.withColumn("label", (F.col("margin") > 0).cast("double")).drop("margin")
-        models = {view: _fit(own.unionByName(lent[view].select(*own.columns)), view) for view in models}
+        models = {view: _fit(own.unionByName(lent[view].select(*own.columns)), view, partitions) for view in models}
     held = known.filter("held").select("doc_id", "label", "held", "text", "meta")
     calibrations = []
     for view in ("text", "meta"):
@@ -159,7 +173,7 @@ def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
     by_both = models["meta"].transform(by_text)
     views = F.array(F.col("margin") * ta + tb, _second("rawPrediction") * ma + mb)
     stacked = _fit(by_both.select("label", array_to_vector(views).alias("m")), "m")
-    frame.unpersist()
+    known.unpersist()
     linear = lambda m: Linear(m.coefficients.toArray(), float(m.intercept))
     return CoTrained(linear(models["text"]), linear(models["meta"]), tuple(calibrations), linear(stacked))
 

@@ -384,6 +384,16 @@ def test_cotraining(spark, no_docs):
     assert {r["_op9"]["score"] for r in cotraining.score(docs, none, ["doc_id"]).collect()} == {0.5}
 
 
+def test_cotraining_judges_every_unlabelled_document(spark):
+    ids = spark.range(14_000).select("id", F.when(F.col("id") > 0, F.col("id")).alias("doc_id"))
+    docs = ids.select("doc_id", F.concat(F.lit("w"), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("n_chars"))
+    labels = labels_of(spark, [(n, n % 2, 0) for n in range(1, 101)])
+    frame = cotraining.samples(docs, labels, labelled_rows=60)
+    got = {r["doc_id"]: r["label"] for r in frame.select("doc_id", "label").collect()}
+    assert frame.filter("label is null").count() == 13_900 and set(range(101, 14_000)) | {None} == {i for i, v in got.items() if v is None}
+    assert len(got) == 13_960 and all(v == i % 2 for i, v in got.items() if v is not None)
+
+
 # --- 10 ---------------------------------------------------------------------------------------
 
 
