@@ -2,7 +2,7 @@
 
 Documents are tokenised and cut into pieces in one pass that keeps lengths and digests only. Pieces
 are dealt into groups of bounded size. A group is packed best fit first, longest piece first; then a
-local search exchanges pieces between underfull sequences whenever that raises the sum of squared
+local search exchanges pieces between underfull sequences until no exchange raises the sum of squared
 fills, so nearly empty sequences drain and vanish. What stays underfull is pooled over groups and
 packed once more.
 
@@ -13,6 +13,7 @@ empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import heapq
 import os
 import zlib
 from collections.abc import Iterator
@@ -179,77 +180,105 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bin_of
 
 
-def swap_search(lengths: np.ndarray, bin_of: np.ndarray, capacity: int, steps: int = 2000) -> np.ndarray:
-    """Exchanges between underfull bins that raise the sum of squared fills.
+def swap_search(lengths: np.ndarray, bin_of: np.ndarray, capacity: int) -> np.ndarray:
+    """Exchanges between underfull bins that raise the sum of squared fills, until none is left.
 
-    Donors are the emptiest bins. A step moves a piece, exchanges one for one, or two for one, so
-    that the receiver gains and the donor loses ``gain`` tokens; the change of the sum,
-    2 * gain * (receiver - donor + gain), must be positive. ``steps`` bounds the effort.
+    A donor gives one or two pieces, ``s`` tokens, and takes back a piece of ``y`` tokens or nothing
+    (``y`` = 0). For the receiver, let ``rest`` be its fill without ``y``. The exchange fits if
+    ``rest + s <= capacity``, and changes the sum by 2 * (s - y) * (rest + s - donor), so it counts if
+    ``y < s`` and ``rest + s > donor``. ``least`` has the smallest ``y`` of every ``rest``, so one sliding
+    minimum over it tells of every ``s`` at once whether the donor has an exchange. Donors come emptiest
+    first, and the search ends when a sweep over all underfull bins exchanges nothing.
     """
     bin_of = bin_of.copy()
-    fill = np.bincount(bin_of, weights=lengths).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
-    settled: set[int] = set()
-
-    def best(gain: np.ndarray, receiver: np.ndarray, donor: int) -> int | None:
-        """Of the offers, the one that raises the sum most."""
-        fits = (gain > 0) & (gain <= capacity - fill[receiver]) & (receiver != donor)
-        worth = np.where(fits, gain * (fill[receiver] - fill[donor] + gain), 0)
-        at = int(worth.argmax()) if len(worth) else 0
-        return at if len(worth) and worth[at] > 0 else None
-
-    for _ in range(steps):
-        open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
-        donors = [b for b in open_bins[np.argsort(fill[open_bins], kind="stable")[:64]] if b not in settled]
-        if len(open_bins) < 2 or not donors:
-            break
-        donor = int(donors[0])
-        own = np.flatnonzero(bin_of == donor)
-        others = np.flatnonzero((fill[bin_of] < capacity) & (bin_of != donor))
+    n, none = int(bin_of.max()) + 1 if len(bin_of) else 0, 4 * capacity
+    fill = np.bincount(bin_of, weights=lengths, minlength=n).astype(np.int64).tolist()
+    held: list[dict[int, list[int]]] = [{} for _ in range(n)]  # by bin: size, pieces of that size
+    for i, (b, size) in enumerate(zip(bin_of.tolist(), lengths.tolist())):
+        held[b].setdefault(size, []).append(i)
+    offers: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]  # by rest: y, bin, its stamp
+    least = np.full(capacity + 1, none, np.int64)
+    stamp = [0] * n
+    ramp = np.arange(1, capacity + 1)
+
+    def offer(b: int) -> None:
+        if 0 < fill[b] < capacity:
+            for y in (0, *held[b]):
+                heapq.heappush(offers[fill[b] - y], (y, b, stamp[b]))
+                least[fill[b] - y] = offers[fill[b] - y][0][0]
+
+    def withdraw(b: int) -> None:
+        stamp[b] += 1
+        for y in (0, *held[b]):
+            heap = offers[fill[b] - y]
+            while heap and heap[0][2] != stamp[heap[0][1]]:
+                heapq.heappop(heap)
+            least[fill[b] - y] = heap[0][0] if heap else none
+
+    def move(size: int, source: int, to: int) -> None:
+        i = held[source][size].pop()
+        if not held[source][size]:
+            del held[source][size]
+        held[to].setdefault(size, []).append(i)
+        bin_of[i] = to
+        fill[source] -= size
+        fill[to] += size
+
+    def given(donor: int) -> tuple[int, ...] | None:
+        """Sizes the donor can give: its longest such piece, else the heaviest such pair."""
+        width = capacity - fill[donor]
+        low, reach = least, 1
+        while 2 * reach <= width:
+            low, reach = np.minimum(low[:-reach], low[reach:]), 2 * reach
+        if reach < width:
+            low = np.minimum(low[: len(low) - (width - reach)], low[width - reach :])
+        sizes = np.sort(np.fromiter(held[donor], np.int64, len(held[donor])))
+        able = sizes[low[fill[donor] - sizes + 1] < sizes]
+        if len(able):
+            return (int(able[-1]),)
+        twice = np.array([len(held[donor][size]) > 1 for size in sizes.tolist()], bool)
+        a, b = np.triu_indices(len(sizes), 1)
+        a, b = np.concatenate((sizes[a], sizes[twice])), np.concatenate((sizes[b], sizes[twice]))
+        able = np.flatnonzero(low[fill[donor] - a - b + 1] < a + b)
+        if not len(able):
+            return None
+        at = able[(a + b)[able].argmax()]
+        return int(a[at]), int(b[at])
+
+    def drain(donor: int) -> bool:
+        """Exchange until the donor has none; true if there was any."""
         changed = False
-        for x in own[np.argsort(-lengths[own], kind="stable")]:
-            size = lengths[x]
-            if (at := best(np.full(len(open_bins), size), open_bins, donor)) is not None:
-                gain, to, back = size, open_bins[at], []
-            elif (at := best(size - lengths[others], bin_of[others], donor)) is not None:
-                gain, to, back = size - lengths[others[at]], bin_of[others[at]], [others[at]]
-            else:
-                continue
-            bin_of[x] = to
-            bin_of[back] = donor
-            fill[to] += gain
-            fill[donor] -= gain
+        withdraw(donor)
+        while fill[donor] and (out := given(donor)):
+            s = sum(out)
+            window = least[fill[donor] - s + 1 : capacity - s + 1]
+            rest = fill[donor] - s + 1 + int(((s - window) * ramp[: len(window)]).argmax())
+            y, to, _ = offers[rest][0]
+            withdraw(to)
+            for size in out:
+                move(size, donor, to)
+            if y:
+                move(y, to, donor)
+            offer(to)
             changed = True
-            break
-        if not changed:
-            few = own[:32]
-            for a in range(len(few)):
-                for b in range(a):
-                    both = lengths[few[a]] + lengths[few[b]]
-                    if (at := best(both - lengths[others], bin_of[others], donor)) is not None:
-                        y = others[at]
-                        to, gain = bin_of[y], both - lengths[y]
-                        bin_of[[few[a], few[b]]], bin_of[y] = to, donor
-                        fill[to] += gain
-                        fill[donor] -= gain
-                        changed = True
-                        break
-                if changed:
-                    break
-        if changed:
-            settled.clear()
-        else:
-            settled.add(donor)
+        offer(donor)
+        return changed
+
+    for b in range(n):
+        offer(b)
+    while any([drain(b) for b in sorted(range(n), key=fill.__getitem__) if 0 < fill[b] < capacity]):
+        pass
     return bin_of
 
 
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
 
 
-def _pack_groups(rows: DataFrame, groups: int, level: int, capacity: int, steps: int) -> DataFrame:
+def _pack_groups(rows: DataFrame, groups: int, level: int, capacity: int) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["deal", "piece"], kind="stable", ignore_index=True)
         lengths = part["length"].to_numpy(np.int64)
-        bin_of = swap_search(lengths, best_fit(lengths, capacity), capacity, steps)
+        bin_of = swap_search(lengths, best_fit(lengths, capacity), capacity)
         order = np.argsort(bin_of, kind="stable")
         part, bins, sizes = part.iloc[order], bin_of[order], lengths[order]
         before = np.cumsum(sizes) - sizes
@@ -264,21 +293,21 @@ def _pack_groups(rows: DataFrame, groups: int, level: int, capacity: int, steps:
     return dealt.groupBy("pack_group").applyInPandas(run, PACKED)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, steps: int = 2000) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Sequence and offset of every piece.
 
     Groups hold ``group_pieces`` pieces on average whatever the size of the input. The second level
     takes every piece of a sequence that is less than 99 percent full.
     """
     groups = max(1, -(-rows.count() // group_pieces))
-    first = settle(_pack_groups(rows, groups, 0, capacity, steps), "packed")
+    first = settle(_pack_groups(rows, groups, 0, capacity), "packed")
     if groups == 1:
         return first.drop("fill")
     full = F.col("fill") >= 0.99 * capacity
     rest = first.filter(~full)
     again = max(1, -(-rest.count() // group_pieces))
     rest = rest.withColumn("deal", F.xxhash64("sequence_id", "offset")).drop("sequence_id", "offset", "fill")
-    return first.filter(full).unionByName(_pack_groups(rest, again, 1, capacity, steps)).drop("fill")
+    return first.filter(full).unionByName(_pack_groups(rest, again, 1, capacity)).drop("fill")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:

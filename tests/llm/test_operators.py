@@ -419,6 +419,31 @@ def test_packing(docs, no_docs, rows, capacity, group_pieces):
     assert packing.pack_documents(no_docs, packing.public_vocabulary()).count() == 0
 
 
+def has_exchange(lengths, bin_of, capacity):
+    """Whether any underfull bin can give one or two pieces, for one or none back, and raise the sum of squared fills."""
+    fill = np.bincount(bin_of, weights=lengths).astype(int)
+    open_bins = [b for b in range(len(fill)) if 0 < fill[b] < capacity]
+    for donor in open_bins:
+        own = lengths[bin_of == donor].tolist()
+        for s in own + [x + y for n, x in enumerate(own) for y in own[:n]]:
+            for to in open_bins:
+                if to != donor and any(0 < s - y <= capacity - fill[to] and fill[to] - fill[donor] + s - y > 0 for y in [0, *lengths[bin_of == to].tolist()]):
+                    return True
+    return False
+
+
+def test_swaps_end_without_an_exchange_left():
+    rng = np.random.default_rng(7)
+    for n in range(20):
+        lengths = rng.integers(1, 40, 60)
+        start = packing.best_fit(lengths, 64) if n % 2 else np.arange(60)
+        assert not has_exchange(lengths, packing.swap_search(lengths, start, 64), 64)
+    # more pieces than 2,000 steps can place, and more stuck bins than 64
+    lengths = np.concatenate((np.full(70, 35), np.ones(5000, int)))
+    done = packing.swap_search(lengths, np.arange(len(lengths)), 64)
+    assert len(np.unique(done)) == -(-lengths.sum() // 64)
+
+
 def test_swaps_raise_squared_fill_and_empty_bins():
     lengths = np.array([6, 4, 5, 5, 3, 3, 2, 2])
     start = np.arange(8)
