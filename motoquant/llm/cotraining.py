@@ -3,7 +3,8 @@
 Two logistic regressions see different views of a document: its text (hashed words and punctuation
 runs) and its metadata (language, source, length and layout). Starting from labelled documents, each
 round either view labels the unlabelled documents it is sure of for the other view. Both are then calibrated
-on labelled documents that no round trained on, and a third regression on the two calibrated margins
+on labelled documents that no round trained on (a fifth of each class; the training documents if a
+class has only one), and a third regression on the two calibrated margins
 gives the score of every document.
 
 The labelled sample has at most ``LABELLED_ROWS`` documents, those of the smallest hash of their id.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,7 +101,7 @@ VIEWS = ", ".join(f"{view} struct<type: tinyint, size: int, indices: array<int>,
 
 
 def samples(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """Both views of the labelled sample and of all unlabelled documents; a fifth of the labelled is for calibration."""
+    """Both views of the labelled sample and of all unlabelled documents."""
     good = verdicts(labels).select("doc_id", F.col("good").cast("double").alias("label"))
     known = settle(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("doc_id", F.lit(True).alias("chosen")), "co-rows")
     marks = settle(good.join(F.broadcast(known), "doc_id", "left"), "co-labels")
@@ -125,8 +126,14 @@ def samples(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_RO
     path = shared_dir(docs.sparkSession, "co-vectors")
     annotate(rows, ["doc_id", "label"], VIEWS, start, read=META).write.parquet(path)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.DoubleType()), T.StructField("text", VectorUDT()), T.StructField("meta", VectorUDT())])
-    held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)) == 0
-    return docs.sparkSession.read.schema(schema).parquet(path).select("doc_id", "label", held.alias("held"), "text", "meta")
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
+
+def deal_held(known: DataFrame) -> DataFrame:
+    """The labelled sample with ``held``: a fifth of each class, and one of both kinds where a class has two."""
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit("calibrate")), "doc_id")
+    dealt = known.select("doc_id", "label").distinct().select("doc_id", (F.row_number().over(order) % 5 == 2).alias("held"))
+    return known.join(F.broadcast(dealt), "doc_id").select("doc_id", "label", "held", "text", "meta")
 
 
 def _fit(rows: DataFrame, view: str, partitions: int = PARTITIONS):
@@ -144,16 +151,16 @@ def _second(vector: str) -> Column:
 
 def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
     frame = samples(docs, labels, labelled_rows)
-    known = frame.filter("label is not null").repartition(PARTITIONS).cache()
+    known = deal_held(frame.filter("label is not null").repartition(PARTITIONS)).cache()
     share = known.agg(F.avg("label")).first()[0]
     own = known.filter("not held")
     kinds = own.agg(F.count_distinct("label")).first()[0]
     check = known.filter("held").agg(F.count_distinct("label")).first()[0]
-    if kinds < 2 or check < 2:
+    if kinds < 2:
         share = 0.5 if share is None else min(max(share, 1e-9), 1 - 1e-9)
         none = Linear(np.zeros(2), float(np.log(share / (1 - share))))
         return CoTrained(Linear(np.zeros(TEXT_SIZE), 0.0), Linear(np.zeros(META_SIZE), 0.0), ((0.0, none.intercept), (0.0, none.intercept)), none)
-    pool = frame.filter("label is null")
+    pool = frame.filter("label is null").select("doc_id", "label", F.lit(False).alias("held"), "text", "meta")
     partitions = max(PARTITIONS, -(-pool.count() // TASK_ROWS))
     edge = float(np.log(sure / (1 - sure)))
     models = {view: _fit(own, view) for view in ("text", "meta")}
@@ -163,7 +170,7 @@ def co_train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
             certain = _margin(pool, models[view], view).filter(F.abs("margin") >= edge)
             lent[other] = certain.withColumn("label", (F.col("margin") > 0).cast("double")).drop("margin")
         models = {view: _fit(own.unionByName(lent[view].select(*own.columns)), view, partitions) for view in models}
-    held = known.filter("held").select("doc_id", "label", "held", "text", "meta")
+    held = known.filter("held") if check == 2 else own
     calibrations = []
     for view in ("text", "meta"):
         line = _fit(_margin(held, models[view], view).select("label", array_to_vector(F.array("margin")).alias("m")), "m")

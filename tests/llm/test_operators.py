@@ -394,6 +394,15 @@ def test_cotraining_judges_every_unlabelled_document(spark):
     assert len(got) == 13_960 and all(v == i % 2 for i, v in got.items() if v is not None)
 
 
+@pytest.mark.parametrize("bad", [1, 2])
+def test_cotraining_learns_from_few_labels_of_a_class(spark, bad):
+    docs = table(spark, [(n, f"{'junk $$' if n < 10 else 'fine words'} w{n}", "site") for n in range(40)])
+    labels = labels_of(spark, [(n, int(n >= bad), 0) for n in [*range(bad), *range(20, 26)]])
+    model = cotraining.co_train(docs, labels, rounds=1)
+    got = {r["doc_id"]: r["_op9"]["score"] for r in cotraining.score(docs, model, ["doc_id"]).collect()}
+    assert max(got[n] for n in range(10)) < min(got[n] for n in range(10, 40))
+
+
 # --- 10 ---------------------------------------------------------------------------------------
 
 
