@@ -5,8 +5,7 @@ over trusted documents (labelled quality 1). A document's score is the mean over
 log ratio of both smoothed probabilities. Every document is judged by one threshold, the middle of
 the score range that best separates the labelled documents. Base rules reject first.
 
-The trusted side is counted over at most ``TRUSTED_ROWS`` labelled documents, those of the smallest
-hash of their id; the raw side and the threshold use all rows. Null texts and texts without words
+Both sides and the threshold use all rows. Null texts and texts without words
 have score 0 and fail the base rules. Repeated rows are judged once each, a document labelled both
 ways counts as not trusted, and without trusted or without rejected labels the threshold is
 ``LOWEST``: only the base rules reject. An empty table gives an empty result.
@@ -25,10 +24,10 @@ from pyspark.sql import functions as F
 
 from motoquant.llm.store import settle, table
 from motoquant.llm.words import NOT_NEWLINE, NOT_SPACE, annotate, byte_class, chunks, mix, runs_to_mask, split_kinds, split_words, sums, text_buffer, window_hashes
+from motoquant.operators.joins import lookup_join
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2)
-TRUSTED_ROWS = 65_536
 SMOOTHING = 1.0
 BINS_PER_UNIT = 100
 LOWEST = -50.0
@@ -93,24 +92,22 @@ def verdicts(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
 
 
-def count_grams(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> Counts:
+def count_grams(docs: DataFrame, labels: DataFrame) -> Counts:
     """Both multinomials; the result has a fixed number of buckets."""
-    good = verdicts(labels).filter("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
-    ids = np.array(sorted(r[0] for r in good.select("doc_id").collect()), np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+    good = verdicts(labels).filter("good")
+    rows = lookup_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), good, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for piece in chunks(batches):
             bucket, text = gram_buckets(piece.column("text"))
-            inside = np.isin(piece.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(), shared.value)
-            inside &= piece.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            inside = piece.column("good").is_valid().to_numpy(zero_copy_only=False)
             raw += np.bincount(bucket, minlength=BUCKETS)
             trusted += np.bincount(bucket[inside[text]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(trusted[at])], ["bucket", "raw", "trusted"])
 
-    parts = docs.select("doc_id", "text").mapInArrow(run, "bucket long, raw long, trusted long")
+    parts = rows.select("text", "good").mapInArrow(run, "bucket long, raw long, trusted long")
     total = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()
     counts = Counts(np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64))
     counts.raw[total["bucket"].to_numpy(np.int64)] = total["raw"].to_numpy(np.int64)

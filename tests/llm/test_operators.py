@@ -117,6 +117,16 @@ def test_quality_counts_and_scores(spark, docs, no_docs, rows, texts):
     assert quality.find_threshold(quality.measure(docs, counts, ["doc_id"]), labels.limit(0)) == quality.LOWEST
 
 
+def test_quality_counts_every_trusted_document(spark):
+    ids = spark.range(70_000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"))
+    labels = ids.select("doc_id", F.when(F.col("doc_id") % 7 > 0, 1).otherwise(0).alias("quality"))
+    counts = quality.count_grams(ids.select("doc_id", F.lit("word").alias("text")), labels.union(labels.filter("doc_id > 69999 - 10").withColumn("quality", F.lit(1))))
+    assert counts.raw.sum() == 70_000 and counts.trusted.sum() == sum(n % 7 > 0 for n in range(70_000))
+    many = ids.withColumn("doc_id", F.col("doc_id") + 100_000).filter("doc_id is not null").withColumn("quality", F.lit(1))
+    counts = quality.count_grams(many.select("doc_id", F.lit("word").alias("text")), many)
+    assert counts.raw.sum() == counts.trusted.sum() == 69_999
+
+
 # --- 2 ----------------------------------------------------------------------------------------
 
 
