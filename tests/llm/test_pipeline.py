@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from test_operators import components_brute, hits_brute
+from test_llm_operators import components_brute, hits_brute
 
 from motoquant.llm import line_dedup
 from motoquant.llm.registry import QUERIES
