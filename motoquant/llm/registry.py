@@ -13,6 +13,7 @@ from motoquant.llm.sharding import op8_sharding
 from motoquant.llm.substring_dedup import op6_substring_dedup
 from motoquant.llm.toxicity import op5_toxicity
 from motoquant.llm.url_rules import op3_url_rules
+from motoquant.llm.whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_cotraining": op9_cotraining,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {

@@ -22,3 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def row_key() -> Column:
     """Names a row by its contents; rows with equal id and text are one document."""
     return F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text"), F.col("text").isNull())
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """The wanted name, or it with underscores in front until no column (compared without case) has it."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
