@@ -38,6 +38,7 @@ LANGUAGES = 64
 SHARDS = 8
 ROUNDS = 6
 BATCH = 128  # windows of one step
+LEAST_STEPS = 32  # of a round; a small shard is gone through more than once
 RATE = 0.02
 SCORE_WINDOWS = 2_048  # windows scored at once
 UNDETERMINED = "und"
@@ -145,36 +146,41 @@ class Network:
         return loss, grad.flat
 
     def probabilities(self, ids: np.ndarray) -> np.ndarray:
-        """Distribution of every byte, steps by windows by classes; the gates are halved once for tanh."""
+        """Distribution of every byte, steps by classes by windows.
+
+        Units lie along rows here, so every gate is one run of memory; a sigmoid is a tanh of halves.
+        """
         steps, n, u = ids.shape[0], ids.shape[1], self.units
-        logits = np.empty((steps, n, self.classes), self.flat.dtype)
-        halves = np.repeat(np.array([0.5, 1.0], self.flat.dtype), (2 * u, u))
+        kind = self.flat.dtype
+        logits = np.empty((steps, self.classes, n), kind)
+        halves = np.repeat(np.array([0.5, 1.0], kind), (2 * u, u))[:, None]
+        gates, given, change, more = (np.empty((k, n), kind) for k in (3 * u, 3 * u, u, self.classes))
         for way in (0, 1):
-            inputs, recurrent = self.inputs[way] * halves, self.recurrent[way] * halves
-            h = np.zeros((n, u), self.flat.dtype)
+            inputs, recurrent, out = (np.ascontiguousarray(m) for m in (self.inputs[way].T * halves, self.recurrent[way].T * halves, self.out[way].T))
+            h = np.zeros((u, n), kind)
             for k in range(steps):
                 t = k if way == 0 else steps - 1 - k
-                a, b = inputs.take(ids[t], axis=0), h @ recurrent
-                gates = a[:, : 2 * u]
-                gates += b[:, : 2 * u]
-                np.tanh(gates, out=gates)
-                gates += 1
-                gates *= 0.5
-                c = b[:, 2 * u :]
-                c *= gates[:, u:]
-                c += a[:, 2 * u :]
-                c = np.tanh(c)
-                c -= h
-                c *= gates[:, :u]
-                h += c
+                np.take(inputs, ids[t], axis=1, out=given, mode="clip")
+                np.matmul(recurrent, h, out=gates)
+                shut = gates[: 2 * u]
+                shut += given[: 2 * u]
+                np.tanh(shut, out=shut)
+                shut += 1
+                shut *= 0.5
+                np.multiply(gates[2 * u :], shut[u:], out=change)
+                change += given[2 * u :]
+                np.tanh(change, out=change)
+                change -= h
+                change *= shut[:u]
+                h += change
                 if way == 0:
-                    np.matmul(h, self.out[0], out=logits[t])
+                    np.matmul(out, h, out=logits[t])
                 else:
-                    logits[t] += h @ self.out[1]
-        logits += self.bias
-        logits -= logits.max(axis=2, keepdims=True)
+                    logits[t] += np.matmul(out, h, out=more)
+        logits += self.bias[:, None]
+        logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
+        logits /= logits.sum(axis=1, keepdims=True)
         return logits
 
 
@@ -200,8 +206,8 @@ class Reader:
             at = order[k : k + SCORE_WINDOWS]
             ids = window_ids(buffer, starts[at], ends[at])
             p = self.network.probabilities(ids)
-            p[ids == _PAD] = 0
-            np.add.at(out, text[at], p.sum(axis=0, dtype=np.float64))
+            p *= (ids != _PAD)[:, None, :]
+            np.add.at(out, text[at], p.sum(axis=0, dtype=np.float64).T)
         return out / np.maximum(size, 1)[:, None]
 
 
@@ -218,7 +224,7 @@ def cut(offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
 def window_ids(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Bytes of the windows, steps by windows, padded to the longest."""
     at = np.arange(int((ends - starts).max()))[:, None] + starts[None, :]
-    return np.where(at < ends[None, :], buffer[np.minimum(at, len(buffer) - 1)], _PAD).astype(np.int16)
+    return np.where(at < ends[None, :], buffer[np.minimum(at, len(buffer) - 1)].astype(np.int64), _PAD)
 
 
 # --- training ----------------------------------------------------------------------------------
@@ -274,7 +280,9 @@ def steps(state: np.ndarray, classes: int, ids: np.ndarray, label: np.ndarray, b
     """Adam steps through the windows of one shard. ``state`` is parameters and both moments."""
     flat, first, second = (a.copy() for a in np.split(state, 3))
     net = Network(flat, classes)
-    for k, at in enumerate(range(0, len(label), batch)):
+    starts = range(0, len(label), batch)
+    for k in range(max(len(starts), LEAST_STEPS)):
+        at = starts[k % len(starts)]
         _, grad = net.loss(ids[:, at : at + batch], label[at : at + batch])
         grad /= max(1.0, float(np.sqrt((grad * grad).sum())))
         first += 0.1 * (grad - first)
@@ -307,7 +315,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_windows: int = TR
 
         made = shards.mapInArrow(run, "shard int, windows long, state binary").orderBy("shard").collect()
         state = np.mean([np.frombuffer(r["state"], np.float32) for r in made], axis=0, dtype=np.float64).astype(np.float32)
-        begun += -(-max(r["windows"] for r in made) // BATCH)
+        begun += max(LEAST_STEPS, -(-max(r["windows"] for r in made) // BATCH))
     return Reader(learned, Network(state[: len(net.flat)].copy(), classes))
 
 
