@@ -252,19 +252,28 @@ ORACLES["r101_negotiation"] = f"""{STATE}, p0 AS (SELECT f.booking_id, f.status,
 SELECT booking_id, status, round, update_id, slot_at FROM p3"""
 
 
+ARRIVALS = 4  # parts in which the replies reach the stream
+
+
 def _negotiation_stream(s: SparkSession, d: str) -> DataFrame:
-    """The same state from the keyed stream: older replies are written first and read in earlier micro-batches."""
+    """The same state from the keyed stream, with replies out of order.
+
+    Event time follows the update id. A reply arrives with its own part of the time or, by hash, with
+    the next one, so every part but the first holds replies older than some that were read before.
+    """
     known = frame(s, d, "booking").select(
         "booking_id", "status", "round", F.coalesce("update_id", F.lit(-1)).alias("last_update_id")
     )
-    events = frame(s, d, "booking_event").join(known, "booking_id")
+    events = frame(s, d, "booking_event").join(known, "booking_id").withColumn("ts", F.timestamp_seconds("update_id"))
     src = shared_dir(s, "booking-events")
-    middle = frame(s, d, "booking_event").agg(F.percentile_approx("update_id", 0.5)).first()[0]
-    older = F.col("update_id") <= F.lit(middle)
-    for part in (older, ~older):
-        events.filter(part).repartition(4, "booking_id").write.mode("append").parquet(src)
+    length = (frame(s, d, "booking_event").agg(F.max("update_id")).first()[0] or 0) // ARRIVALS + 1
+    late = F.pmod(F.xxhash64("booking_id", "update_id"), F.lit(2))
+    part = F.floor(F.col("update_id") / length) + late
+    for i in range(ARRIVALS + 1):
+        events.filter(part == i).repartition(4, "booking_id").write.mode("append").parquet(src)
     done = SB.run_negotiation(
-        s, src, events.schema, shared_dir(s, "booking-state"), shared_dir(s, "booking-offsets"), files_per_batch=4, bookings=known
+        s, src, events.schema, shared_dir(s, "booking-state"), shared_dir(s, "booking-offsets"), files_per_batch=4, bookings=known,
+        delay=f"{3 * length} seconds",
     )
     return done.select("booking_id", "status", "round", "moves")
 
