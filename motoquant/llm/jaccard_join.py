@@ -285,7 +285,11 @@ def _verify(pairs: DataFrame, members: DataFrame, similarity: Similarity) -> Dat
 
 
 def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity()) -> DataFrame:
-    """``row``, doc_id, n_shingles and component_id of every document."""
+    """``row``, doc_id, n_shingles, component_id and ``group`` of every document.
+
+    ``group`` names the documents that links connect, those of null id too; it is null for documents
+    without shingles, which are linked with nothing.
+    """
     known = settle(profiles(docs, similarity), "profiles")
     sets = known.filter(F.col("set").isNotNull()).groupBy("set").agg(
         F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.min("row").alias("row"), F.min("doc_id").alias("least"),
@@ -317,10 +321,11 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity()) -> D
 
     named = sets.select("set", "least").join(group, "set", "left").select("set", "least", F.coalesce("component", "set").alias("component"))
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = settle(lookup_join(named, heads, "component").select("set", "component_id"), "classes")
+    named = settle(lookup_join(named, heads, "component").select("set", "component_id", F.col("component").alias("group")), "classes")
     found = lookup_join(known.select("row", "doc_id", "n_shingles", "set"), named, "set")
-    return found.select("row", "doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("row", "doc_id", "n_shingles", component.alias("component_id"), "group")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row", "group")

@@ -51,7 +51,12 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """The documents with ``kept`` (text without boilerplate) and the number of removed lines."""
+    """The documents with ``_kept`` (text without boilerplate) and ``_removed``, the number of removed lines.
+
+    Columns of these names give way, those of ``_row`` and ``_dropped`` are left out; what must stay is
+    carried inside a struct.
+    """
+    docs = docs.drop("_kept", "_removed", "_row", "_dropped")
     lines = lines_of(docs, site)
     known = settle(boilerplate(lines, min_sites), "boilerplate")
     hits = lookup_join(lines.select("row", "doc_id", "place", "line"), known, "line", "inner", checked=small_enough(known))

@@ -30,3 +30,18 @@ def free_name(columns: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def fold(docs: DataFrame, *own: str) -> DataFrame:
+    """The ``own`` columns and ``carried``, a struct of every column but the text.
+
+    An operator's columns cannot clash with those of its caller while these lie inside the struct.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select(*[F.col(c) for c in own], rest.alias("carried"))
+
+
+def unfold(folded: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The caller's columns in their order, out of ``text`` and ``carried``; some of them changed."""
+    plain = {c: F.col("text") if c == "text" else F.col("carried").getField(c) for c in columns} | changed
+    return folded.select(*[plain[c].alias(c) for c in columns])

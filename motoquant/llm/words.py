@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -238,16 +239,19 @@ def annotate(docs: DataFrame, keep: list[str], fields: str, start: Callable[[],
     """The kept columns and new ones that a task computes from pieces of batches.
 
     ``start`` runs once per task and returns the function from a piece to the new columns. The piece
-    holds the kept columns, the text and those of ``read``.
+    holds the kept columns, the text and those of ``read``. A kept column of a new column's name gives
+    way to it; one that must stay is carried inside a struct.
     """
     new = T._parse_datatype_string(fields)
+    made = {f.name.lower() for f in new.fields}
+    keep = [c for c in keep if c.lower() not in made]
     schema = T.StructType([docs.schema[c] for c in keep] + new.fields)
     kinds = [to_arrow_type(f.dataType) for f in new.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for piece in chunks(batches, text):
-            made = [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(step(piece), kinds)]
-            yield pa.RecordBatch.from_arrays([piece.column(c) for c in keep] + made, schema.names)
+            found = [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(step(piece), kinds)]
+            yield pa.RecordBatch.from_arrays([piece.column(c) for c in keep] + found, schema.names)
 
-    return docs.select(*dict.fromkeys([*keep, text, *read])).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text, *read])]).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -60,3 +61,53 @@ def test_stages_take_empty_and_odd_tables(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame(rows, schema)
             assert stage(spark, docs, sf_dir).count() in ((0,) if not rows else range(5)), name
+
+
+CLASHES = ("_row", "_op1", "_op4", "_kept", "_removed", "_dropped", "carried", "row", "group", "set", "key", "good", "label")
+
+
+def odd_documents(spark, rows):
+    """Documents with a column for every name that the stages use inside."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), *[f"{c}{n}" for c in CLASHES]) for n, (i, t, s) in enumerate(rows)], kinds)
+
+
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    words = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "changed"]), " ".join(reversed(words))
+    rows = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (None, text, "d"), (None, near, "e"), (None, near, "e"), (2, near, "f")]
+    rows += [(None, other, "g"), (None, other, "h"), (7, "", "i"), (7, "", "j"), (8, "", "k"), (None, None, "l"), (None, None, "m"), (9, None, "n"), (7, other + " x", "o")]
+    docs = odd_documents(spark, rows)
+    out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert not Counter(tuple(r) for r in got) - Counter(tuple(r) for r in docs.collect())
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, text), (7, other + " x"), (7, ""), (8, ""), (None, None), (9, None)])
+
+
+def test_stages_leave_columns_of_clashing_names_alone(spark, sf_dir):
+    common = "this line stands on many sites and says nothing of its own"
+    rng = random.Random(3)
+    rows = [(n, "\n".join([" ".join(rng.choice("abcdefgh") * rng.randrange(1, 6) + str(rng.randrange(90)) for _ in range(40)), common]), f"s{n}") for n in range(14)]
+    docs = odd_documents(spark, rows + [(None, None, "s1"), (50, "", None)])
+    given = {r["_row"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.schema.names == docs.columns, name
+        for r in out.collect():
+            before = given[r["_row"]]
+            assert [r[c] for c in ("doc_id", "source", *CLASHES)] == [before[c] for c in ("doc_id", "source", *CLASHES)], name
+            if name == "line_dedup":
+                gone = r["doc_id"] is not None and 0 < r["doc_id"] < 14
+                assert r["text"] == (before["text"].removesuffix("\n" + common) if gone else before["text"]) and r["n_chars"] == (None if r["text"] is None else len(r["text"]))
+            else:
+                assert r["text"] == before["text"] and r["n_chars"] == before["n_chars"]
+    assert corpus_pipeline.pack(spark, docs, sf_dir).filter("doc_id = 3").count() == 1
+
+
+def test_stages_take_a_text_of_a_million_words(spark, sf_dir):
+    long = " ".join(str(k * k % 1_000_003) for k in range(1_000_000))
+    docs = spark.createDataFrame([(10**9 + 1, long, "en", "s", len(long)), (10**9 + 2, "a short text of some eleven words stands here beside it", "en", "t", 55)], spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {10**9 + 1, 10**9 + 2}, name
