@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: five stages, each written as Parquet and read again.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``, whatever stage made them.
-All but the last return the columns of ``documents``.
+All but the last return the columns they got, whatever their names: columns that a stage does not need
+pass inside a struct. Every stage takes empty tables.
 """
 
 from __future__ import annotations
@@ -10,43 +11,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motoquant.llm import decontamination, jaccard_join, line_dedup, packing, quality
-from motoquant.llm.store import row_key, settle, table
+from motoquant.llm.store import fold, row_key, settle, table, unfold
+from motoquant.operators.joins import lookup_join, small_enough
 
 #: Near duplicates of the pipeline: five-word shingles, similarity of at least 0.8.
 NEAR = jaccard_join.Similarity(words=5, num=80, den=100)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the base rules and the likelihood ratio keep."""
+    """Rows that the base rules and the likelihood ratio keep.
+
+    Null and empty texts have no words and go. Repeated rows are judged alike; a row of null id has no
+    label and is judged like any other.
+    """
     labels = table(spark, sf_dir, "labels")
-    counts = quality.count_grams(docs, labels)
-    threshold = quality.find_threshold(settle(quality.measure(docs, counts, ["doc_id"]), "quality"), labels)
-    return quality.measure(docs, counts, docs.columns).filter(quality.kept(threshold)).select(*docs.columns)
+    rows = fold(docs, "doc_id", "text")
+    counts = quality.count_grams(rows, labels)
+    measured = settle(quality.measure(rows, counts, ["doc_id"]), "quality")
+    threshold = quality.find_threshold(measured, labels)
+    return unfold(quality.measure(rows, counts, ["text", "carried"]).filter(quality.kept(threshold)), docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without boilerplate lines; n_chars follows a changed text."""
-    found = line_dedup.remove_boilerplate(docs)
-    changed = {"text": F.col("_kept"), "n_chars": F.when(F.col("_removed") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """All rows, without boilerplate lines; n_chars follows a changed text.
+
+    A null text stays null. Rows of equal id and text are one document: none of them takes a line from
+    another. A row of null id has no first claim on a line.
+    """
+    found = line_dedup.remove_boilerplate(fold(docs, "doc_id", "text", "source"))
+    changed = {"text": F.col("_kept")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_removed") > 0, F.length("_kept").cast("long")).otherwise(F.col("carried.n_chars"))
+    return unfold(found, docs.columns, **changed)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates, the document of the smallest id. Rows of equal id and text are one."""
-    found = jaccard_join.near_duplicates(docs, NEAR)
-    chosen = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("row").alias("_row")).distinct()
-    rows = docs.withColumn("_row", row_key())
-    return rows.join(chosen, "_row", "left_semi").select(*docs.columns)
+    """Of every group of near duplicates one row, that of the smallest id, null ids last.
+
+    Rows of equal id and text are one document, of which one row stays. Documents without words are
+    linked with nothing: each of another id or text stays.
+    """
+    rows = fold(docs, "text").withColumn("doc_id", F.col("carried.doc_id"))
+    found = settle(jaccard_join.near_duplicates(rows, NEAR).select("row", "doc_id", "group"), "stage-groups")
+    copies = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("group").alias("group"))
+    group = F.struct(F.col("group").isNull().alias("alone"), F.coalesce("group", "row").alias("name"))
+    named = settle(copies.select("row", "n", F.struct(F.col("doc_id").isNull().alias("later"), "doc_id", "row").alias("rank"), group.alias("group")), "stage-copies")
+    first = named.groupBy("group").agg(F.min("rank")["row"].alias("row"))
+    gone = settle(named.select("row").join(first, "row", "left_anti"), "stage-gone")
+    keyed = rows.withColumn("row", row_key())
+    kept = lookup_join(keyed, gone, "row", "left_anti", checked=True) if small_enough(gone) else keyed.join(gone, "row", "left_anti")
+    # rows of equal id and text: only they are dealt anew
+    several = settle(named.filter("n > 1").select("row").join(gone, "row", "left_anti"), "stage-repeated")
+    if several.isEmpty():
+        return unfold(kept, docs.columns)
+    kept = settle(kept, "stage-kept")
+    one = lookup_join(kept, several, "row", "left_semi", checked=True) if small_enough(several) else kept.join(several, "row", "left_semi")
+    other = lookup_join(kept, several, "row", "left_anti", checked=True) if small_enough(several) else kept.join(several, "row", "left_anti")
+    pick = F.struct(F.xxhash64("carried").alias("hash"), "text", "carried")
+    one = one.groupBy("row").agg(F.min_by(F.struct("text", "carried"), pick["hash"]).alias("r")).select("r.text", "r.carried")
+    return unfold(other.select("text", "carried").unionByName(one), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold too little of the benchmark to count as contaminated."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.filter(~decontamination.contaminated()).select(*docs.columns)
+    """Rows that hold too little of the benchmark to count as contaminated; texts without words stay."""
+    found = decontamination.decontaminate(fold(docs, "text"), table(spark, sf_dir, "benchmark"), ["text", "carried"])
+    return unfold(found.filter(~decontamination.contaminated()), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequence and offset."""
+    """Pieces with their sequence and offset. A null text is packed as an empty one; other columns are left out."""
     return packing.pack_documents(docs, packing.public_vocabulary())
 
 
