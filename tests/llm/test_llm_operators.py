@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -117,6 +118,31 @@ def test_quality_counts_and_scores(spark, docs, no_docs, rows, texts):
     assert quality.find_threshold(quality.measure(docs, counts, ["doc_id"]), labels.limit(0)) == quality.LOWEST
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quality_threshold_separates_best_of_all_thresholds(spark, seed):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for n in range(300):
+        good = rng.random() < 0.6
+        words, repeats = rng.choice(((50, 0), (50, 0), (9, 0), (50, 11)))
+        rows.append((n, (words, 200, 0, 0, repeats, round(rng.gauss(0.2 if good else -0.1, 0.15), 4))))
+        labels += [(n, int(good), 0)] if n % 3 else []
+    labels += [(3, None, 0), (None, 1, 0), (5000, 1, 0), (1, 0, 0)]  # conflicting labels of one id count as bad
+    fields = quality.FIELDS.split(" ", 1)[1]
+    measured = spark.createDataFrame(rows, f"doc_id long, _op1 {fields}")
+    found = quality.find_threshold(measured, labels_of(spark, labels))
+    good = {i: all(q == 1 for j, q, _ in labels if j == i and q is not None) for i in {j for j, q, _ in labels if j is not None and q is not None}}
+    judged = [(m[-1], good[i]) for i, m in rows if i in good and m[0] >= 10 and 100 * m[4] <= 20 * m[0]]
+    def gain(at):
+        shares = [[s < at for s, g in judged if g == kind] for kind in (False, True)]
+        return sum(shares[0]) / len(shares[0]) - sum(shares[1]) / len(shares[1])
+    edges = sorted({math.floor(s * quality.BINS_PER_UNIT) / quality.BINS_PER_UNIT for s, _ in judged})
+    best = max(gain(e) for e in [*edges, 9.0])
+    assert abs(gain(found) - best) < 1e-9 and best > 0.4
+    kept = {r[0] for r in measured.filter(quality.kept(found)).collect()}
+    assert kept == {i for i, m in rows if m[0] >= 10 and 100 * m[4] <= 20 * m[0] and m[-1] >= found}
+
+
 def test_quality_counts_every_trusted_document(spark):
     ids = spark.range(70_000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"))
     labels = ids.select("doc_id", F.when(F.col("doc_id") % 7 > 0, 1).otherwise(0).alias("quality"))
@@ -157,7 +183,7 @@ def test_jaccard_components(docs, rows, monkeypatch, k, num, block):
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", block)
     monkeypatch.setattr(jaccard_join, "BATCH_MEMBERS", 4)
     want = components_brute([(i, t) for i, t, _ in rows], k, num, 100)
-    got = jaccard_join.near_duplicates(docs, jaccard_join.Similarity(k, num)).drop("row").collect()
+    got = jaccard_join.near_duplicates(docs, jaccard_join.Similarity(k, num)).drop("row", "group").collect()
     assert Counter(tuple(r) for r in got) == Counter((i, *want[i, t]) for i, t, _ in rows)
 
 
@@ -221,6 +247,64 @@ def test_url_rules_are_mined(spark):
     assert ["p:casino", "p:win"] in [r["tokens"] for r in rules] and all(len(r["tokens"]) == 2 for r in rules)
 
 
+def mined_brute(rows, least, confidence, lean):
+    """Rules as (verdict, token set, confidence), by trying every combination of up to four tokens."""
+    out, n = set(), len(rows)
+    for label in ("allow", "block"):
+        base = sum(l == label for _, l in rows) / n
+        def share(tokens):
+            pages = [l for own, l in rows if tokens <= own]
+            return len(pages), (sum(l == label for l in pages) / len(pages) if pages else 0)
+        leaning = []
+        for t in sorted(set().union(*(own for own, _ in rows))):
+            pages, part = share({t})
+            if round(pages * part) >= least and part > base and part - base >= lean * math.sqrt(base * (1 - base) / pages):
+                leaning.append(t)
+        alone = {t for t in leaning if share({t})[1] >= confidence}
+        found = [{t} for t in alone]
+        rest = [t for t in leaning if t not in alone]
+        pages_of = {t: frozenset(k for k, (own, _) in enumerate(rows) if t in own) for t in rest}
+        for size in (2, 3, 4):
+            for combo in itertools.combinations(rest, size):
+                pages, part = share(set(combo))
+                if part >= confidence and sum(l == label for own, l in rows if set(combo) <= own) >= least and len({pages_of[t] for t in combo}) == size and not any(f < set(combo) for f in found if len(f) < size):
+                    found.append(set(combo))
+        out |= {(label, frozenset(f), round(share(f)[1], 9)) for f in found}
+    return out
+
+
+def expanded(rules):
+    return {(r["verdict"], frozenset(c), round(r["confidence"], 9)) for r in rules.collect() for c in itertools.product(*r["parts"])}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mined_rules_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for n in range(160):
+        bad = rng.random() < 0.4
+        host, path = rng.choice("aab" if bad else "abc"), rng.choice(["x", "x", "y"] if bad else ["x", "y", "z"])
+        query = "&".join(q + "=1" for q in ("s", "t") if n % 2) + ("&u=2" if rng.random() < (0.7 if bad else 0.4) else "")
+        rows.append((n, f"http://{host}.org/{path}/{path if n % 3 else 'w'}{n}?{query}", "block" if bad or (host, path) == ("a", "y") else "allow"))
+    labelled = spark.createDataFrame(rows, "id int, url string, label string")
+    tokens = {r["url"]: set(r["own"]) for r in labelled.select("url", url_rules.url_tokens(F.col("url")).alias("own")).collect()}
+    mining = url_rules.Mining(confidence=0.75, least_pages=8, lean=1.0)
+    want = mined_brute([(tokens[u], l) for _, u, l in rows], 8, 0.75, 1.0)
+    got = expanded(url_rules.mine(labelled.select("url", "label").repartition(3), mining))
+    assert got == want and any(len(f) > 1 for _, f, _ in want)
+
+
+def test_templates_of_many_tokens_are_mined_in_bounded_time(spark):
+    """Thirty query names shared by all urls, or by all of one kind: no combinations of them are tried."""
+    names = "&".join(f"track{chr(97 + k // 26)}{chr(97 + k % 26)}=1" for k in range(30))
+    rows = [(f"http://a.org/{'bad' if n % 4 == 0 else 'good'}{'pq'[n % 2]}/x{n}?{names}", "block" if n % 4 == 0 else "allow") for n in range(400)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, label string"))
+    assert {(r["verdict"], *r["tokens"]) for r in rules.collect()} == {("block", "p:badp"), ("allow", "p:goodp"), ("allow", "p:goodq")}
+    rows = [(f"http://a.org/x{n}" + (f"?{names}" if n % 4 == 0 or n % 40 == 1 else ""), "block" if n % 4 == 0 else "allow") for n in range(400)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, label string"))
+    assert len(expanded(rules)) == 30 and all(len(r["tokens"]) == 1 for r in rules.collect())
+
+
 # --- 4 ----------------------------------------------------------------------------------------
 
 
@@ -277,6 +361,26 @@ def test_toxicity_finds_held_out_rows(spark, no_docs):
     assert toxicity.score(docs, one, ["doc_id"]).agg(F.max("_op5")).first()[0] < 1e-6
 
 
+def test_toxicity_query_scores_as_a_machine_written_out(spark, tmp_path, monkeypatch):
+    """Three features with known weights; every score of the query worked out one text at a time."""
+    hashes = [int(toxicity.terms_of(pa.array([word]))[0][at]) for word, at in (("idiot", 0), ("scumxx", 1), ("folk", 0))]
+    order = np.argsort(np.array(hashes, np.uint64))
+    weights, factors = np.array([0.5, 0.4, -0.2]), np.array([[1.0, 0.5], [0.3, -0.7], [2.0, 1.5]])
+    machine = toxicity.Machine(np.array(hashes, np.uint64)[order], weights[order], factors[order], -1.0, slope=2.0, shift=0.25)
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: machine)
+    texts = ["idiot", "IDIOT folk", "idiot idiot, scumling", "scum", "scumber folk", "folk", "a plain text", "", None, "idiot scummy folk " * 900]
+    table(spark, [(n, t, "s") for n, t in enumerate(texts)], extra=True).write.parquet(f"{tmp_path}/documents.parquet")
+    labels_of(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.op5_toxicity(spark, str(tmp_path)).collect()}
+    for n, text in enumerate(texts):
+        words = fold(text).replace(",", "").split()
+        here = [k for k, has in enumerate(("idiot" in words, any(w.startswith("scum") and len(w) > 4 for w in words), "folk" in words)) if has]
+        margin = -1.0 + sum(weights[k] for k in here) + sum(float(factors[a] @ factors[b]) for a, b in itertools.combinations(here, 2))
+        score = 1 / (1 + math.exp(-(2.0 * math.copysign(math.log1p(abs(margin)), margin) + 0.25)))
+        assert abs(got[n]["score"] - score) < 1e-8 and got[n]["predicted"] == int(score >= 0.7), text
+        assert got[n]["held_out"] == (zlib.crc32(str(n).encode()) % 3 == 1)
+
+
 def test_machine_margin_is_pairwise():
     rng = np.random.default_rng(0)
     m = toxicity.Machine(np.arange(6, dtype=np.uint64), rng.normal(size=6), rng.normal(size=(6, 3)), 0.3)
@@ -394,6 +498,43 @@ def test_cotraining(spark, no_docs):
     assert {r["_op9"]["score"] for r in cotraining.score(docs, none, ["doc_id"]).collect()} == {0.5}
 
 
+def test_cotraining_lends_sure_labels_to_the_other_view(spark, monkeypatch):
+    """The rows of every fit, against margins worked out from the models of the round before."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for n in range(160):
+        good = n % 2 == 0
+        words = [rng.choice(("fine", "clear", "true") if good == (rng.random() < 0.85) else ("spam", "junk", "buy")) for _ in range(12)]
+        rows.append((n, " ".join(words), f"site{'ab'[good == (rng.random() < 0.85)]}"))
+        labels += [(n, int(good), 0)] if n < 60 else []
+    docs, known = table(spark, rows), labels_of(spark, labels)
+    fits, plain = [], cotraining._fit
+
+    def spy(rows, view, *more):
+        model = plain(rows, view, *more)
+        if view != "m":
+            fits.append((view, Counter((r["doc_id"], r["label"]) for r in rows.select("doc_id", "label").collect()), model))
+        return model
+
+    monkeypatch.setattr(cotraining, "_fit", spy)
+    cotraining.co_train(docs, known, rounds=2, sure=0.8)
+    frame = cotraining.samples(docs, known).collect()
+    pool = [r for r in frame if r["label"] is None]
+    assert [v for v, _, _ in fits] == ["text", "meta"] * 3 and len(pool) == 100
+    own = fits[0][1]
+    assert own == fits[1][1] and {i for i, _ in own} < set(range(60)) and all(label == (i % 2 == 0) for i, label in own)
+    edge = math.log(0.8 / 0.2)
+    lent_any = 0
+    for at in range(2, 6):
+        view, trained, _ = fits[at]
+        other, _, model = next(f for f in reversed(fits[: at - at % 2]) if f[0] != view)
+        margins = {r["doc_id"]: float(model.coefficients.dot(r[other]) + model.intercept) for r in pool}
+        lent = Counter((i, float(m > 0)) for i, m in margins.items() if abs(m) >= edge)
+        assert trained == own + lent, (at, view)
+        lent_any += len(lent)
+    assert lent_any > 50
+
+
 def test_cotraining_judges_every_unlabelled_document(spark):
     ids = spark.range(14_000).select("id", F.when(F.col("id") > 0, F.col("id")).alias("doc_id"))
     docs = ids.select("doc_id", F.concat(F.lit("w"), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("n_chars"))
