@@ -34,6 +34,9 @@ class Rules:
     forest_trees: int = 300
     forest_depth: int = 20
     forest_min_leaf: int = 2
+    log_forest_trees: int = 200
+    log_forest_min_leaf: int = 10
+    log_coverage: float = 0.80  # wanted share of prices inside the calibrated band
 
     comps_year_window: int = 2
     comps_wide_window: int = 5

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from motoquant.config import DEFAULT, Rules
 from motoquant.functions.noise import uniform
 from motoquant.operators.joins import add_group_count
-from motoquant.operators.quantiles import exact_quantiles, melt_numeric, quantile_table
+from motoquant.operators.quantiles import exact_quantiles, melt_numeric, quantile_table, scan_columns
 
 
 def _unpivot_row(row: DataFrame, items: list[tuple[str, dict[str, Column]]]) -> DataFrame:
@@ -28,14 +28,16 @@ def _melt_text(df: DataFrame, columns: list[str]) -> DataFrame:
     ])))
 
 
+def _scanned(df: DataFrame, columns: list[str], probs: dict[str, float], also: dict) -> DataFrame:
+    """Summaries and exact quantiles per column in two scans of the input."""
+    found = scan_columns(df, columns, list(probs.values()), also)
+    return found.drop("e", "n").join(quantile_table(df, columns, probs, scanned=found), "column")
+
+
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column."""
-    moments = melt_numeric(df, columns).groupBy("column").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"),
-    )
-    quartiles = quantile_table(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).drop("n")
-    return moments.join(quartiles, "column")
+    also = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    return _scanned(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, also).drop("n")
 
 
 def text_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -52,25 +54,27 @@ def text_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def shape_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """1 to 99 percent quantiles, skewness, excess kurtosis, and skewness of log1p."""
-    moments = melt_numeric(df, columns).groupBy("column").agg(
-        F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurtosis"),
-        F.skewness(F.log1p("v")).alias("log_skew"),
-    )
+    also = {"skew": F.skewness, "kurtosis": F.kurtosis, "log_skew": lambda v: F.skewness(F.log1p(v))}
     probs = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    return moments.join(quantile_table(df, columns, probs), "column")
+    return _scanned(df, columns, probs, also)
 
 
 def duplicate_lens(df: DataFrame, lenses: dict[str, list[str]]) -> DataFrame:
-    """Per named column set: rows that share their key, and rows beyond the first of each key."""
-    out = None
-    for name, columns in lenses.items():
-        groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        row = groups.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"),
-        ).select(F.lit(name).alias("lens"), "duplicate_rows", "extra_rows")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Per named column set: rows that share their key, and rows beyond the first of each key.
+
+    All sets are counted by one aggregation over grouping sets, in one shuffle of the rows.
+    """
+    columns = list(dict.fromkeys(c for own in lenses.values() for c in own))
+    ids = {name: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in own) for name, own in lenses.items()}
+    sets = {ids[name]: [F.col(f"`{c}`") for c in dict.fromkeys(own)] for name, own in lenses.items()}
+    groups = df.groupingSets(list(sets.values()), *[F.col(f"`{c}`") for c in columns]).agg(
+        F.count(F.lit(1)).alias("_rows"), F.grouping_id().alias("_set")
+    )
+    totals = groups.filter("_rows > 1").groupBy("_set").agg(F.sum("_rows").alias("rows"), F.sum(F.col("_rows") - 1).alias("extra"))
+    named = df.sparkSession.createDataFrame(list(ids.items()), "lens string, _set long")
+    return named.join(totals, "_set", "left").select(
+        "lens", F.coalesce("rows", F.lit(0)).alias("duplicate_rows"), F.coalesce("extra", F.lit(0)).alias("extra_rows")
+    )
 
 
 def duplicate_rows(df: DataFrame, columns: list[str], rules: Rules = DEFAULT) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motoquant.config import DEFAULT, Rules
+from motoquant.sources.buckets import BucketTable
 
 UPDATED_FIELDS = [
     "model", "variant", "year", "price_rm", "mileage", "transmission",
@@ -51,6 +52,17 @@ def upsert(
     return joined.select(*[pick(c).alias(c) for c in state.columns])
 
 
+def upsert_buckets(
+    table: BucketTable, batch: DataFrame, version: int, order: list[str], fields: list[str] | None = None
+) -> set[int]:
+    """``upsert`` into a table of hash buckets: reads and rewrites only the buckets that the batch touches.
+
+    The batch is folded to one row per key first. Returns the rewritten buckets.
+    """
+    new = latest_per_key(batch, [table.key], order)
+    return table.merge(new, version, lambda stored, rows: upsert(stored, rows, order, table.key, fields))
+
+
 def capped_union(
     first: DataFrame, second: DataFrame, cap: int | None, order: list[str]
 ) -> DataFrame:

@@ -12,6 +12,8 @@ from motoquant.operators import match as M
 from motoquant.operators import upsert as U
 from motoquant.plans.sqltext import badge, canonical_class, fuel, r_even, rint, to_num, transmission
 from motoquant.plans.standins import ctes, frame
+from motoquant.sources.buckets import BucketTable
+from motoquant.sources.tables import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -293,6 +295,20 @@ SELECT coalesce(s.listing_url, b.listing_url) AS listing_url, coalesce(s.source,
   CASE WHEN b.listing_url IS NOT NULL THEN b.scraped_at ELSE s.scraped_at END AS scraped_at
 FROM s FULL OUTER JOIN b ON s.listing_url = b.listing_url"""
 
+
+
+def _upsert_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """State and batch as two versions of a bucketed table."""
+    state, batch = _state_and_batch(spark, d)
+    table = BucketTable(spark, shared_dir(spark, "listings"), "listing_url", state.schema)
+    for version, rows in enumerate((state, batch)):
+        U.upsert_buckets(table, rows, version, UPSERT_ORDER)
+    return table.read().select("listing_url", "source", "model", "year", "price_rm", "mileage", "scraped_at")
+
+
+QUERIES["r17_upsert_buckets"] = _upsert_buckets
+ORACLES["r17_upsert_buckets"] = ORACLES["r17_upsert"]
+
 LISTING_CAP = 40_000  # more than the first source has at the smaller scales, so that the second fills up
 CAP_ORDER = ["listing_id", "listing_url", "price_rm", "posted_at"]
 QUERIES["r44_capped_union"] = lambda spark, d: U.capped_union(

@@ -225,23 +225,22 @@ FROM (SELECT *, o_orderkey % 3 = 0 AS e FROM orders WHERE o_orderkey % 3 <> 2)""
 ORACLES["r32_spec_sheets"] = SHEETS
 
 SQL["crawl_page"] = f"""
-SELECT 0 AS page_id, '{SITE}/models' AS url, '<html><a href="/models/Brand-A-Class">A</a><a href="/models/Brand-B-Class">B</a></html>' AS html
-FROM {{region}} r WHERE r.r_regionkey = 0
-UNION ALL SELECT 1, '{SITE}/models/Brand-A-Class', '<html><h2>W177</h2><a href="/car/M1/a">Class A 3 Versions</a><h2>W168</h2><a href="/car/M2/b">Old A 2 Versions</a></html>'
-FROM {{region}} r WHERE r.r_regionkey = 0
-UNION ALL SELECT 2, '{SITE}/models/Brand-B-Class', '<html><h2>W245</h2><a href="/car/M3/c">Class B 3 Versions</a></html>'
-FROM {{region}} r WHERE r.r_regionkey = 0
+SELECT p.p_partkey * 2 AS page_id, '{SITE}/models' AS url,
+  '<html><a href="/models/Brand-P' || CAST(p.p_partkey AS STRING) || '-Class">P</a></html>' AS html FROM {{part}} p
+UNION ALL SELECT p.p_partkey * 2 + 1, '{SITE}/models/Brand-P' || CAST(p.p_partkey AS STRING) || '-Class',
+  '<html><h2>W' || CAST(100 + p.p_partkey % 200 AS STRING) || '</h2><a href="/car/M' || CAST(p.p_partkey AS STRING) || '/a">Class A 3 Versions</a>'
+  || '<h2>W168</h2><a href="/car/M' || CAST(p.p_partkey + 1000000000 AS STRING) || '/b">Old A 2 Versions</a></html>' FROM {{part}} p
 """
 
 
 def _crawl_links(s: SparkSession, d: str) -> DataFrame:
-    """Links of three hub pages plus one version link per order, spread over the three model pages."""
-    hubs = P.page_links(frame(s, d, "crawl_page"), {**FAMILY_KINDS, "family": r"^/models/Brand-[^/]+/?$"})
-    k = F.col("o_orderkey")
-    model = F.element_at(F.array(*[F.lit(f"{SITE}/car/{m}") for m in ("M1/a", "M2/b", "M3/c")]), (k % 3 + 1).cast("int"))
+    """Links of the index and of a family page per part, plus one version link per order, on a card of its part."""
+    hubs = P.page_links(frame(s, d, "crawl_page"), FAMILY_KINDS)
+    k, part = F.col("o_orderkey"), F.col("o_custkey")
+    model = F.when(k % 3 == 1, F.concat(F.lit(f"{SITE}/car/M"), part + 1000000000, F.lit("/b"))).otherwise(F.concat(F.lit(f"{SITE}/car/M"), part, F.lit("/a")))
     none = lambda t: F.lit(None).cast(t)
     versions = frame(s, d, "orders").select(
-        (k + 10).alias("page_id"), model.alias("page_url"), F.lit("detail").alias("kind"),
+        k.alias("page_id"), model.alias("page_url"), F.lit("detail").alias("kind"),
         F.concat(F.lit(f"{SITE}/car/"), k, F.lit("/spec.html")).alias("url"), none("string").alias("heading"),
         none("string").alias("title"), none("int").alias("versions"), F.lit(0).alias("section"), F.lit(0).alias("position"),
     )
@@ -253,12 +252,13 @@ QUERIES["r33_crawl"] = lambda s, d: P.crawl(
     frame(s, d, "orders").filter("o_orderkey % 7 = 0").select(
         F.concat(F.lit(f"{SITE}/car/"), F.col("o_orderkey"), F.lit("/spec.html")).alias("source_url")
     ),
-    f"{SITE}/models", "Brand-", families=["a-class"], scraped_at=F.lit(None).cast("timestamp"),
+    f"{SITE}/models", "Brand-", scraped_at=F.lit(None).cast("timestamp"),
 ).select("source_url", "model_family", "generation", "model_page_title", "version_name", "year_start", "horsepower_hp")
 ORACLES["r33_crawl"] = f"""WITH s AS ({SHEETS}), k AS (SELECT *, CAST(regexp_extract(source_url, '/car/(\\d+)/', 1) AS BIGINT) AS o FROM s)
-SELECT source_url, 'A Class' AS model_family, CASE o % 3 WHEN 0 THEN 'W177' ELSE 'W168' END AS generation,
+SELECT source_url, 'P' || CAST(p_partkey AS VARCHAR) || ' Class' AS model_family,
+  CASE o % 3 WHEN 0 THEN 'W' || CAST(100 + p_partkey % 200 AS VARCHAR) ELSE 'W168' END AS generation,
   CASE o % 3 WHEN 0 THEN 'Class A' ELSE 'Old A' END AS model_page_title, version_name, year_start, horsepower_hp
-FROM k WHERE o % 3 < 2 AND o % 7 <> 0"""
+FROM k JOIN orders ON o_orderkey = o JOIN part ON p_partkey = o_custkey WHERE o % 7 <> 0"""
 
 QUERIES["r34_page_status"] = lambda s, d: frame(s, d, "pages").withColumn(
     "html", F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("<p>Cloudflare: Just a moment</p>"), "html"))

@@ -10,12 +10,13 @@ from motoquant.functions.numeric import round_even
 from motoquant.operators import bands as B
 from motoquant.operators import curves as C
 from motoquant.operators import features as FT
+from motoquant.operators import forest as FO
 from motoquant.operators import metrics as MT
 from motoquant.operators import model as ML
 from motoquant.operators.features import share_rounded
 from motoquant.plans.queries_core import enriched
 from motoquant.plans.sqltext import class_label, r_even, rint
-from motoquant.plans.standins import ctes, frame
+from motoquant.plans.standins import SQL, ctes, frame
 from motoquant.sources import tables as S
 
 QUERIES: dict = {}
@@ -146,6 +147,78 @@ t AS (SELECT l_orderkey, median(x) AS v, stddev_pop(x) * CAST(1.6737 AS DOUBLE)
 SELECT l_orderkey, CAST({rint('v')} AS BIGINT) AS value_rm, CAST({rint('greatest(0, v - w)')} AS BIGINT) AS low_rm,
   CAST({rint('v + w')} AS BIGINT) AS high_rm, {r_even('least(greatest(1 - w / greatest(v, 1), 0), 1)', 3)} AS confidence FROM t"""
 
+def _held_standin(s: SparkSession, d: str) -> DataFrame:
+    """Line prices of an order as its trees, its total as the price, five folds."""
+    orders = frame(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", (F.col("o_orderkey") % 5).cast("int").alias("fold"))
+    trees = _tree_standin(s, d).withColumn("trees", F.transform("trees", F.log1p))
+    return trees.join(orders, "l_orderkey")
+
+
+QUERIES["r70_conformal_folds"] = lambda s, d: share_rounded(
+    B.conformal_coverage(_held_standin(s, d), "o_totalprice", "fold"), ["k", "coverage"], 5
+)
+ORACLES["r70_conformal_folds"] = f"""WITH l AS (SELECT l_orderkey, l_extendedprice * CAST(1.0137 AS DOUBLE) AS x FROM lineitem),
+t AS (SELECT l_orderkey, median(x) AS v, stddev_pop(x) AS sd, count(*) AS trees FROM l GROUP BY 1),
+m AS (SELECT CAST(o_orderkey % 5 AS INTEGER) AS fold, CASE WHEN trees > 1 THEN abs(o_totalprice - v) / sd ELSE CAST('inf' AS DOUBLE) END AS miss
+  FROM t JOIN orders ON o_orderkey = l_orderkey),
+f AS (SELECT DISTINCT fold FROM m),
+k AS (SELECT f.fold, quantile_cont(m.miss, 0.8) AS k FROM f JOIN m ON m.fold <> f.fold GROUP BY 1)
+SELECT m.fold, count(*) AS n, {r_even('max(k)', 5)} AS k, {r_even('avg(CASE WHEN miss <= k THEN 1.0 ELSE 0.0 END)', 5)} AS coverage
+FROM m JOIN k ON k.fold = m.fold GROUP BY 1"""
+
+
+# --- a forest as a table of nodes ------------------------------------------------------------
+
+# eight trees of three levels: thresholds and leaf values are means over all lines, so both sides walk one table
+SQL["forest_node"] = """SELECT CAST(l.l_suppkey % 8 AS INT) AS tree, CAST(l.l_linenumber - 1 AS INT) AS node, CAST((l.l_linenumber - 1) % 3 AS INT) AS feature,
+  CASE (l.l_linenumber - 1) % 3 WHEN 0 THEN CAST(sum(CAST(floor(l.l_quantity) AS BIGINT)) AS DOUBLE) / count(*) + l.l_suppkey % 8
+    WHEN 1 THEN CAST(sum(l.l_partkey % 90) AS DOUBLE) / count(*) ELSE CAST(sum(l.l_orderkey % 7) AS DOUBLE) / count(*) END AS threshold,
+  CAST(2 * l.l_linenumber - 1 AS INT) AS left_node, CAST(2 * l.l_linenumber AS INT) AS right_node, CAST(NULL AS DOUBLE) AS value
+FROM {lineitem} l GROUP BY l.l_suppkey % 8, l.l_linenumber
+UNION ALL SELECT CAST(l.l_suppkey % 8 AS INT), CAST(7 + l.l_orderkey % 8 AS INT), CAST(NULL AS INT), CAST(NULL AS DOUBLE), CAST(NULL AS INT), CAST(NULL AS INT),
+  CAST(sum(CAST(floor(l.l_extendedprice) AS BIGINT)) AS DOUBLE) / count(*) FROM {lineitem} l GROUP BY l.l_suppkey % 8, l.l_orderkey % 8"""
+WALKED = ("CAST(age + step AS DOUBLE)", "mileage / CAST(4000 AS DOUBLE)", "CAST(services_done % 7 AS DOUBLE)")
+
+
+def _walked(s: SparkSession, d: str, years: int) -> DataFrame:
+    """profile_id, year, step, tree and value: stand-in profiles down a stand-in forest, by node joins."""
+    nodes = frame(s, d, "forest_node").select(
+        "tree", "node", "feature", "threshold", F.lit(None).cast("array<double>").alias("go_left"),
+        F.col("left_node").alias("left"), F.col("right_node").alias("right"), "value",
+    )
+    steps = frame(s, d, "profile").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(years))))
+    rows = steps.select("profile_id", "year", "step", F.array(*[F.expr(x) for x in WALKED]).alias("features"))
+    return FO.walk(rows, S.materialise(nodes, "nodes"), ["profile_id", "year", "step"])
+
+
+def _walk_sql(years: int) -> str:
+    x = ", ".join(f"{e} AS x{i}" for i, e in enumerate(WALKED))
+    return f"""{ctes('profile', 'forest_node').replace('WITH ', 'WITH RECURSIVE ', 1)},
+xs AS (SELECT profile_id, year, CAST(step AS INTEGER) AS step, {x} FROM profile, range({years + 1}) t(step)),
+w(profile_id, year, step, x0, x1, x2, tree, spot) AS (
+  SELECT xs.*, t.tree, 0 FROM xs, (SELECT DISTINCT tree FROM forest_node) t
+  UNION ALL SELECT profile_id, year, step, x0, x1, x2, w.tree, CASE WHEN CASE n.feature WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END <= n.threshold THEN left_node ELSE right_node END
+  FROM w JOIN forest_node n ON n.tree = w.tree AND n.node = w.spot AND n.feature IS NOT NULL),
+v AS (SELECT profile_id, year, step, w.tree, n.value FROM w JOIN forest_node n ON n.tree = w.tree AND n.node = w.spot AND n.feature IS NULL)"""
+
+
+QUERIES["r67_node_walk"] = lambda s, d: _walked(s, d, 0).select("profile_id", "tree", round_even("value", 5).alias("value"))
+ORACLES["r67_node_walk"] = f"{_walk_sql(0)} SELECT profile_id, tree, {r_even('value', 5)} AS value FROM v"
+QUERIES["r68_node_band"] = lambda s, d: B.percentile_band(FO.gather(_walked(s, d, 0), ["profile_id"])).select(
+    "profile_id", "value_rm", "low_rm", "high_rm", "confidence"
+)
+ORACLES["r68_node_band"] = f"""{_walk_sql(0)}, t AS (SELECT profile_id, avg(value) AS m, quantile_cont(value, 0.04) AS lo, quantile_cont(value, 0.96) AS hi FROM v GROUP BY 1)
+SELECT profile_id, CAST({rint('m')} AS BIGINT) AS value_rm, CAST({rint('least(greatest(0, lo), m)')} AS BIGINT) AS low_rm,
+  CAST({rint('greatest(hi, m)')} AS BIGINT) AS high_rm, CAST(0.92 AS DOUBLE) AS confidence FROM t"""
+QUERIES["r59_node_curve"] = lambda s, d: C.model_curve(
+    FO.gather(_walked(s, d, 5), ["profile_id", "year", "step"]).withColumn("prediction", B.array_mean("trees"))
+)
+ORACLES["r59_node_curve"] = f"""{_walk_sql(5)}, p AS (SELECT profile_id, year, step, avg(value) AS p FROM v GROUP BY ALL),
+m AS (SELECT *, min(greatest(p, 0)) OVER (PARTITION BY profile_id ORDER BY step) AS low FROM p),
+f AS (SELECT *, first_value(low) OVER (PARTITION BY profile_id ORDER BY step) AS today FROM m)
+SELECT profile_id, step, CAST(year + step AS INTEGER) AS year, CAST({rint('low')} AS BIGINT) AS value_rm,
+  {r_even('low / CASE WHEN today > 0 THEN today ELSE 1 END', 4)} AS retained_pct FROM f"""
+
 # --- fits (rows only) ------------------------------------------------------------------------
 
 
@@ -179,6 +252,17 @@ QUERIES["r67_tree_predictions"] = lambda s, d: ML.tree_predictions(_tree_values(
 QUERIES["r68_forest_band"] = lambda s, d: B.percentile_band(_tree_values(s, d)).select(
     "row_key", TARGET, "value_rm", "low_rm", "high_rm", "confidence"
 )
+def _log_band(s: SparkSession, d: str) -> DataFrame:
+    """Forest of log prices on all rows, its band calibrated out of fold."""
+    key = ["row_key", "part_key", "supp_key"]
+    train = training_frame(s, d).withColumn(ML.LOG_TARGET, F.log1p(TARGET))
+    held = ML.out_of_fold(train, S.shared_dir(s, "log-folds"), folds=3, trees=TREES, depth=DEPTH, min_leaf=10, key=key, label=ML.LOG_TARGET)
+    model = ML.fit(train, ML.forest(label=ML.LOG_TARGET, trees=TREES, depth=DEPTH, min_leaf=10))
+    valued = ML.with_tree_values(model.transform(train), ML.save_and_table(model, s, S.shared_dir(s, "log-forest")), key)
+    return B.calibrated_band(valued, k=B.conformal_scale(held, TARGET).first()["k"]).select(*key, TARGET, "value_rm", "low_rm", "high_rm", "confidence")
+
+
+QUERIES["r70_log_band"] = _log_band
 QUERIES["r69_band_coverage"] = lambda s, d: ML.band_coverage(
     training_frame(s, d), S.shared_dir(s, "coverage"), folds=5, trees=TREES, depth=4
 )

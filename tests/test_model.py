@@ -1,6 +1,8 @@
 """Models on small frames, and streams against their batch form."""
 
 import json
+import math
+import random
 
 import numpy as np
 import pytest
@@ -154,3 +156,90 @@ def test_negotiation_stream_equals_batch_over_restarts(spark, tmp_path):
     busy = spark.createDataFrame([], "calendar_id string, start timestamp_ntz, end timestamp_ntz")
     batch = {r["booking_id"]: (r["status"], r["round"]) for r in BK.negotiate(bookings, events.select("booking_id", "update_id", "intent"), busy).collect()}
     assert state == batch == {1: ("booked", 2), 2: ("failed", 3), 3: ("booked", 0)}
+
+
+def test_folds_are_fitted_once_for_metrics_and_coverage(spark, cars, tmp_path, monkeypatch):
+    monkeypatch.setattr(ML, "CATEGORICAL_FEATURES", CAT)
+    monkeypatch.setattr(ML, "NUMERIC_FEATURES", NUM)
+    held = ML.out_of_fold(cars, str(tmp_path / "folds"), folds=3, trees=4, depth=4, key=["id"])
+    rows = held.collect()
+    assert len(rows) == 240 and len({r["id"] for r in rows}) == 240 and all(len(r["trees"]) == 4 for r in rows)
+    assert all(abs(sum(r["trees"]) / 4 - r["prediction"]) < 1e-6 * r["prediction"] for r in rows)
+    metrics, report = ML.cross_validate(cars, folds=3, trees=4, depth=4, held=held)
+    got = {(r["model"], r["fold"]): r for r in metrics.collect()}
+    assert len(got) == 6 and {r["model"] for r in report.collect()} == {"random_forest", "ridge"}
+    for k in range(3):
+        own = [r for r in rows if r["fold"] == k]
+        mae = sum(abs(r["price_rm"] - r["prediction"]) for r in own) / len(own)
+        assert got["random_forest", k]["n"] == len(own) and math.isclose(got["random_forest", k]["mae"], mae, rel_tol=1e-9)
+    assert ML.band_coverage(cars, "", held=held).first()["n"] == 240
+
+
+def test_calibrated_band_covers_held_out_groups(spark, tmp_path):
+    """k comes from some groups and holds its share of the prices of others."""
+    rng = random.Random(6)
+    rows = []
+    for n in range(3000):
+        value, spread = rng.uniform(8e4, 3e5), rng.uniform(500, 9000)
+        trees = [math.log1p(value + rng.gauss(0, spread)) for _ in range(20)]
+        rows.append((n, n % 10, value + rng.gauss(0, 2.2 * spread), trees))
+    held = spark.createDataFrame(rows, "id long, fold int, price_rm double, trees array<double>")
+    known, new = held.filter("fold < 5"), held.filter("fold >= 5")
+    k = B.conformal_scale(known, "price_rm").first()["k"]
+    inside = B.log_value_and_spread(new).select((F.abs(F.col("price_rm") - F.col("_v")) <= k * F.col("_sd")).cast("int").alias("i"))
+    assert abs(inside.agg(F.avg("i")).first()[0] - 0.80) < 0.02
+    per_fold = B.conformal_coverage(held, "price_rm", "fold").collect()
+    assert len(per_fold) == 10 and abs(sum(r["coverage"] for r in per_fold) / 10 - 0.80) < 0.02
+    band = B.calibrated_band(new, k=k).filter("low_rm <= price_rm + 0.5 and price_rm <= high_rm + 0.5").count() / new.count()
+    assert abs(band - 0.80) < 0.02
+    odd = spark.createDataFrame([(0, 5.0, [1.0, 1.0]), (1, None, [1.0, 2.0])], "fold int, price_rm double, trees array<double>")
+    assert B.conformal_scale(odd, "price_rm").first()["k"] == float("inf")
+
+
+def test_log_forest_job_prices_with_its_own_band(spark, sf_dir, tmp_path):
+    from motoquant.plans.standins import frame
+
+    out = str(tmp_path / "job")
+    rows = TR.engineered(frame(spark, sf_dir, "uk_raw"), frame(spark, sf_dir, "germany_raw"), frame(spark, sf_dir, "spec_raw"))
+    S.write_table(rows.withColumn("row_id", F.monotonically_increasing_id()), f"{out}/engineered")
+    report = TR.train_log(spark.read.parquet(f"{out}/engineered"), out, folds=3, trees=5, depth=4)
+    assert report["k"] > 0 and len(report["folds"]) == 3 and 0.5 < report["coverage_measured"] < 1
+    priced = TR.price(spark, out, frame(spark, sf_dir, "profile").limit(40), frame(spark, sf_dir, "spec"), log=True)
+    assert priced.count() == 40 and priced.filter("low_rm > value_rm or value_rm > high_rm or confidence > 1").count() == 0
+
+
+def test_walk_over_saved_nodes_equals_the_fitted_forest(spark, cars, tmp_path):
+    """Values of every tree, and importances, from the node table alone."""
+    from motoquant.operators import forest as FO
+
+    model = ML.fit(cars, ML.forest(trees=5, depth=6), CAT, NUM)
+    table = ML.save_and_table(model, spark, str(tmp_path / "m"))
+    scored = model.transform(cars)
+    want = {r["id"]: r["trees"] for r in ML.with_tree_values(scored, table).collect()}
+    nodes = FO.node_table(spark, str(tmp_path / "m"))
+    rows = scored.select("id", vector_to_array("features").alias("features"))
+    assert nodes.columns == FO.NODE_COLUMNS and 1 < FO.levels(nodes) <= 6
+    for rules in (Rules(), Rules(broadcast_max_rows=3, salt_buckets=2)):
+        got = {r["id"]: r["trees"] for r in FO.gather(FO.walk(rows, nodes, ["id"], rules=rules), ["id"]).collect()}
+        assert got == want
+    assert nodes.filter("go_left is not null").count() > 0 and nodes.filter("threshold is not null").count() > 0
+    weights = model.stages[-1].featureImportances.toArray()
+    found = {r["feature"]: r["importance"] for r in FO.impurity_importance(spark, str(tmp_path / "m")).collect()}
+    assert all(math.isclose(found.get(i, 0.0), w, abs_tol=1e-9) for i, w in enumerate(weights))
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    from motoquant.operators import upsert as U
+    from motoquant.sources.buckets import BucketTable
+
+    schema = T.StructType.fromDDL("listing_url string, source string, price_rm long, scraped_at long")
+    state = [(f"u{k}", "a", k, 1) for k in range(300)]
+    batch = [("u7", "b", 70, 2), ("u7", "b", 71, 3), ("new", "b", 5, 2)]
+    table = BucketTable(spark, str(tmp_path / "t"), "listing_url", schema, buckets=32)
+    U.upsert_buckets(table, spark.createDataFrame(state, schema), 0, ["scraped_at"])
+    touched = U.upsert_buckets(table, spark.createDataFrame(batch, schema), 1, ["scraped_at"], ["price_rm", "scraped_at"])
+    assert len(touched) <= 2
+    whole = U.upsert(spark.createDataFrame(state, schema), spark.createDataFrame(batch, schema), ["scraped_at"], fields=["price_rm", "scraped_at"])
+    got = table.read()
+    assert got.count() == 301 and got.exceptAll(whole.select(got.columns)).count() == 0
+    assert got.filter("listing_url = 'u7'").first()["source"] == "a"
