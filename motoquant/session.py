@@ -3,31 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 
-@contextmanager
-def job_folder(spark: SparkSession) -> Iterator[str]:
-    """A folder of its own for a job's intermediate tables, deleted when the job is over.
-
-    Lies under ``spark.checkpoint.dir``, which names it meanwhile. What the job returns must be written
-    elsewhere, or read, before the end.
-    """
-    root = spark.conf.get("spark.checkpoint.dir")
-    folder = f"{root.rstrip('/')}/job-{uuid.uuid4().hex}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    try:
-        yield folder
-    finally:
-        spark.conf.set("spark.checkpoint.dir", root)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def own_folder(spark: SparkSession) -> SparkSession:
     """On one machine, name a temporary folder for intermediate tables if the session names none.
 

@@ -179,18 +179,3 @@ def test_late_replies_count_until_the_watermark_and_finished_bookings_leave_the_
     got, _ = run([(2, *sent, 10, "unavailable", at(10)), (2, *sent, 520, "unavailable", at(520))], closed_days=0)
     assert got == {1: ("booked", 3), 2: ("booked", 3), 3: ("sent", 3)}
 
-
-def test_a_job_leaves_no_intermediate_tables(spark, tmp_path):
-    import os
-
-    from motoquant.session import job_folder
-    from motoquant.sources.tables import materialise
-
-    root = spark.conf.get("spark.checkpoint.dir")
-    with pytest.raises(ValueError), job_folder(spark) as folder:
-        rows = materialise(spark.range(10).toDF("x"), "numbers")
-        rows.write.parquet(str(tmp_path / "kept"))
-        assert os.listdir(folder.removeprefix("file:")) and spark.conf.get("spark.checkpoint.dir") == folder
-        raise ValueError("jobs may fail")
-    assert not os.path.exists(folder.removeprefix("file:")) and spark.conf.get("spark.checkpoint.dir") == root
-    assert spark.read.parquet(str(tmp_path / "kept")).count() == 10
