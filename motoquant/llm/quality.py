@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motoquant.llm.store import settle, table
+from motoquant.llm.store import IDS, settle, table
 from motoquant.llm.words import NOT_NEWLINE, NOT_SPACE, annotate, byte_class, chunks, mix, runs_to_mask, split_kinds, split_words, sums, text_buffer, window_hashes
 from motoquant.operators.joins import lookup_join
 
@@ -95,7 +95,7 @@ def verdicts(labels: DataFrame) -> DataFrame:
 def count_grams(docs: DataFrame, labels: DataFrame) -> Counts:
     """Both multinomials; the result has a fixed number of buckets."""
     good = verdicts(labels).filter("good")
-    rows = lookup_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), good, "doc_id")
+    rows = lookup_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), good, "doc_id", rules=IDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motoquant.config import Rules
 from motoquant.sources.tables import shared_dir
 
+#: For a table of ids with a flag or two: so many rows are broadcast, a join by shuffle would move the texts.
+IDS = Rules(broadcast_max_rows=2_000_000)
+
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write once and read back: the lineage ends here and lost executors cost no recomputation."""
