@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motoquant.llm.quality import verdicts
-from motoquant.llm.store import settle, table
+from motoquant.llm.store import IDS, settle, table
 from motoquant.llm.words import NOT_NEWLINE, annotate, byte_class, lists, split_kinds, split_words, sums, text_buffer
 from motoquant.operators.joins import lookup_join
 from motoquant.sources.tables import shared_dir
@@ -105,7 +105,7 @@ def samples(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_RO
     good = verdicts(labels).select("doc_id", F.col("good").cast("double").alias("label"))
     known = settle(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("doc_id", F.lit(True).alias("chosen")), "co-rows")
     marks = settle(good.join(F.broadcast(known), "doc_id", "left"), "co-labels")
-    rows = lookup_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *META), marks, "doc_id").filter("label is null or chosen")
+    rows = lookup_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *META), marks, "doc_id", rules=IDS).filter("label is null or chosen")
 
     def vectors(kind: int, size: int | None, indices: pa.Array, values: pa.Array) -> pa.Array:
         n = len(values)
