@@ -66,9 +66,7 @@ LENSES = {
     "class_year_km": ["model_class", "year", "mileage"],
     "row": ["row_key", "part_key", "supp_key"],
 }
-QUERIES["r80_duplicate_lens"] = lambda s, d: P.duplicate_lens(
-    enriched(s, d), {"exact": enriched(s, d).columns, **LENSES}
-)
+QUERIES["r80_duplicate_lens"] = lambda s, d: (lambda e: P.duplicate_lens(e, {"exact": e.columns, **LENSES}))(enriched(s, d))
 ORACLES["r80_duplicate_lens"] = E + _each(["exact", *LENSES], lambda n: f"""
 SELECT '{n}' AS lens, CAST(coalesce(sum(c), 0) AS BIGINT) AS duplicate_rows, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS extra_rows
 FROM (SELECT count(*) AS c FROM enriched GROUP BY {', '.join(LENSES.get(n, ['row_key', 'part_key', 'supp_key', 'model_class', 'year', 'mileage', 'price_rm', 'fuel_type', 'transmission', 'engine_size']))} HAVING count(*) > 1)""")
