@@ -191,6 +191,8 @@ def cleaning_ledger(df: DataFrame, rules: Rules = DEFAULT, keys: list[str] | Non
     """Rows left after each cleaning step, from one aggregate over the distinct listings."""
     keys = keys or LISTING_KEY
     order = [c for c in df.columns if c not in keys]
+    # the first row is the same by the columns up to the last that is read; those behind it stay out of the shuffle
+    order = order[: 1 + max((i for i, c in enumerate(order) if c in ("torque_nm", "engine_size", *COMPLETE_SPECS)), default=0)]
     # one pass for the copies, one row per distinct listing afterwards
     folded = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*order)).alias("_row")
