@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from motoquant.config import Rules
+from motoquant.functions import noise
 from motoquant.functions.noise import poisson
-from motoquant.operators import joins, match
+from motoquant.operators import harmonise, joins, match
 
 
 def plan_of(df, stage="executedPlan"):
@@ -60,3 +63,32 @@ def test_listings_rank_no_candidates_themselves(spark):
 def test_poisson_takes_its_hash_once(spark):
     draw = spark.range(10).select((F.col("id") / 3.0).alias("lam"), "id").select(poisson("lam", ["id"], "t", 1).alias("x"))
     assert plan_of(draw, "analyzed").count("md5(") == 2  # one for plain means, one for means in shares
+
+
+def test_short_walks_hold_their_draws(spark):
+    # the draw by the whole walk, in plain Python, next to every bound of the uniform at which the walk gets longer
+    lams = [0.0, 0.01, 0.4, 0.69, 1.0, 1.6, 2.68, 7.3, 55.5, 499.9]
+    us = [1e-9, 0.2, 0.49989, 0.4999, 0.5, 0.85999, 0.86, 0.99, 0.9999989, 0.9999999]
+    df = spark.createDataFrame([(a, b) for a in lams for b in us], "lam double, u double")
+
+    def whole(lam, u):
+        mass = total = math.exp(-lam)
+        k, i = 0, 0
+        while total < u and i < 2000:
+            i += 1
+            mass = mass * lam / i
+            total, k = total + mass, k + 1
+        return k
+
+    for lam, u, k in df.select("lam", "u", noise._walk(F.col("lam"), F.col("u"))).collect():
+        assert k == whole(lam, u), (lam, u)
+
+
+def test_ledger_reads_the_first_copy(spark):
+    """Copies of a key that differ in a column before, among and behind those that the ledger reads."""
+    kind = "k int, row int, n_gears double, top_speed_kmh double, torque_nm double, accel_0_100_s double, boot_l double, engine_size double, note string"
+    rows = [(1, 2, 6.0, 200.0, 300.0, 7.0, 400.0, 0.0, "a"), (1, 1, 6.0, 200.0, 3000.0, 7.0, 400.0, 1.0, "z"),
+            (2, 1, 6.0, 200.0, 300.0, 7.0, None, 0.0, "b"), (2, 1, 6.0, 200.0, 300.0, 7.0, 400.0, 0.0, "a"), (3, 1, 5.0, 180.0, 250.0, 9.0, 300.0, 0.0, "c")]
+    got = harmonise.cleaning_ledger(spark.createDataFrame(rows, kind), keys=["k"])
+    assert not any("note" in line for line in plan_of(got).splitlines() if "Aggregate" in line)
+    assert [tuple(r)[1:] for r in got.orderBy("step").collect()] == [(0, 5), (2, 3), (2, 3), (1, 3), (2, 1)]
